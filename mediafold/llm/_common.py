@@ -45,3 +45,17 @@ def drop_table(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and that nothing reads any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
         delete(df.sparkSession, path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, share: int = 1000) -> DataFrame:
+    """rows with the columns of their group (groups: one row per value of keys, size_col its number of rows).
+
+    A group with over 1/share of all rows would fill one task, so these, fewer than ``share`` by their definition, are
+    broadcast; all other groups are joined by a shuffle. Keys are never null.
+    """
+    from pyspark.sql import functions as F
+
+    large = groups.filter(F.col(size_col) * share > max(total, share))
+    small = groups.filter(F.col(size_col) * share <= max(total, share))
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(rest.join(small, keys))

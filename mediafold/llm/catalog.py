@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mediafold.llm import block_naming
+from mediafold.llm.block_naming import op3_block_naming
 from mediafold.llm.bpe_codec import op7_bpe_codec
 from mediafold.llm.wav_fingerprint import op10_wav_fingerprint
 
@@ -13,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_bpe_codec, op10_wav_fingerprint)}
+    return {f.__name__: f for f in (op3_block_naming, op7_bpe_codec, op10_wav_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_block_naming": block_naming.ORACLE_SQL}
