@@ -15,7 +15,7 @@ MEMO = 1_000_000  # words; the memo starts anew beyond, so a worker's memory is
 MEMO_WORD = 48  # characters; longer words are encoded each time
 
 #: White space by Unicode, beside blank and line end.
-_OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0                　"
+_OTHER_SPACE = "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACE = f" \n{_OTHER_SPACE}"
 #: A text with none of these has only single blanks and line ends as white space, and no mark of a literal piece.
 _RARE = ("\x00", *_OTHER_SPACE, "  ", "\n\n", " \n", "\n ")
