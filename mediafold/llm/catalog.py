@@ -10,6 +10,7 @@ from mediafold.llm import block_naming
 from mediafold.llm.block_naming import op3_block_naming
 from mediafold.llm.bpe_codec import op7_bpe_codec
 from mediafold.llm.repair_store import op2_repair_store
+from mediafold.llm.simhash import op9_simhash_pivots
 from mediafold.llm.vector_packing import op4_vector_packing
 from mediafold.llm.wav_fingerprint import op10_wav_fingerprint
 
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_repair_store, op3_block_naming, op4_vector_packing, op7_bpe_codec, op10_wav_fingerprint)}
+    return {f.__name__: f for f in (op2_repair_store, op3_block_naming, op4_vector_packing, op7_bpe_codec, op9_simhash_pivots, op10_wav_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
