@@ -11,6 +11,7 @@ from mediafold.llm.block_naming import op3_block_naming
 from mediafold.llm.bpe_codec import op7_bpe_codec
 from mediafold.llm.compaction import op6_tiered_compaction
 from mediafold.llm.path_templates import op5_path_templates
+from mediafold.llm.ppm import op8_ppm
 from mediafold.llm.repair_store import op2_repair_store
 from mediafold.llm.simhash import op9_simhash_pivots
 from mediafold.llm.vector_packing import op4_vector_packing
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_repair_store, op3_block_naming, op4_vector_packing, op5_path_templates, op6_tiered_compaction, op7_bpe_codec, op9_simhash_pivots, op10_wav_fingerprint)}
+    return {f.__name__: f for f in (op2_repair_store, op3_block_naming, op4_vector_packing, op5_path_templates, op6_tiered_compaction, op7_bpe_codec, op8_ppm, op9_simhash_pivots, op10_wav_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
