@@ -30,9 +30,9 @@ from mediafold.llm._common import materialise, table
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5)
-TRAIN_ROWS = 8192
+TRAIN_ROWS = 4096
 FOLDS = 3
-STEPS = 40
+STEPS = 30
 L2 = 1.0
 THRESHOLD = 0.5
 ROWS = 128
@@ -75,16 +75,16 @@ def minimised(f, x: np.ndarray, steps: int) -> np.ndarray:
             d = d * (s @ y / (y @ y))
         for (s, y), a in zip(past, reversed(alphas), strict=True):
             d = d + s * (a - y @ d / (s @ y))
-        rate, descent = 1.0, slope @ d
+        rate, descent = 1.0 if past else 1 / max(1.0, float(np.sqrt(slope @ slope))), slope @ d
         while True:
             new, new_slope = f(x + rate * d)
-            if new <= value + 1e-4 * rate * descent or rate < 1e-6:
+            if new <= value + 1e-4 * rate * descent or rate < 1e-9:
                 break
             rate /= 2
         s, y = rate * d, new_slope - slope
         if s @ y > 1e-12:
             past = [*past[-7:], (s, y)]
-        done = value - new < 1e-5 * abs(value)
+        done = value - new < 1e-4 * abs(value)
         x, value, slope = x + s, new, new_slope
         if done:
             break
@@ -116,7 +116,7 @@ class Linear:
         def f(x: np.ndarray) -> tuple[float, np.ndarray]:
             w, v, b = x[: len(use)], x[len(use) : -1], x[-1]
             z = np.bincount(owner, weights=(w * scale)[col], minlength=len(y)) + earlier @ v + b
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            p = 0.5 + 0.5 * np.tanh(z / 2)
             g = p - y
             value = np.logaddexp(0, z).sum() - y @ z + L2 / 2 * (w @ w + v @ v)
             return value, np.concatenate([np.bincount(col, weights=g[owner], minlength=len(use)) * scale + L2 * w, earlier.T @ g + L2 * v, [g.sum()]])
