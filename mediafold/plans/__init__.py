@@ -1 +1 @@
-
+"""The file pipeline and the registered queries."""

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from mediafold.plans import file_queries, tag_queries, text_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {**tag_queries.QUERIES, **text_queries.QUERIES, **file_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**tag_queries.SQL, **text_queries.SQL, **file_queries.SQL}

@@ -1 +1 @@
-
+"""Streams of arriving files."""
