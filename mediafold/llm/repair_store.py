@@ -39,6 +39,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 MIN_USES = 4  # a rule costs about three symbols
+SMALL_ROUND = 0.04  # of the symbols; a round that replaces fewer is the last
 BUCKETS = 1 << 20
 ROWS = 128
 _HEAD = struct.Struct("<4s6Q")
@@ -51,35 +52,38 @@ def grammar(symbols: np.ndarray, last: np.ndarray, first: int, rounds: int = ROU
     of the same bucket waits for a later round. So a round takes time in proportion to the symbols left.
     """
     seq, rules = symbols.astype(np.uint32), np.empty((0, 2), np.uint32)
-    shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
+    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
     for _ in range(rounds):
         if len(seq) < 2 * min_uses or len(rules) >= most_rules:
             break
-        a, b = seq[:-1], seq[1:]
-        at = np.flatnonzero(~last[:-1])
-        h = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519) + (a << np.uint32(7)))) * np.uint32(3266489917) >> shift
-        stands = np.zeros(BUCKETS, np.int64)
-        stands[h[at]] = at
-        same = at[(a[at] == a[stands[h[at]]]) & (b[at] == b[stands[h[at]]])]
-        count = np.bincount(h[same], minlength=BUCKETS)
+        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        bucket = (pair * np.uint64(0x9E3779B97F4A7C15) >> shift).view(np.int64)
+        bucket[last[:-1]] = BUCKETS  # no pair
+        counted = np.zeros(BUCKETS + 1, np.uint64)
+        counted[bucket] = pair
+        same = counted[bucket] == pair
+        count = np.bincount(bucket[same], minlength=BUCKETS + 1).astype(np.int32)
+        count[BUCKETS] = 0
+        count[count < min_uses] = 0
         gain = np.zeros(len(seq) + 1, np.int32)  # of the pair that starts at i, at i + 1
-        gain[same + 1] = count[h[same]]
-        gain[gain < min_uses] = 0
+        np.multiply(count[bucket], same, out=gain[1:-1])
         chosen = np.flatnonzero((gain[1:-1] > gain[:-2]) & (gain[1:-1] >= gain[2:]))
-        uses = np.bincount(h[chosen], minlength=BUCKETS)
+        uses = np.bincount(bucket[chosen], minlength=BUCKETS + 1)
         kept = np.flatnonzero(uses >= min_uses)
         kept = kept[np.argsort(-uses[kept], kind="stable")[: most_rules - len(rules)]]
         if not len(kept):
             break
-        name = np.full(BUCKETS, -1, np.int64)
+        name = np.zeros(BUCKETS + 1, np.uint32)  # 0: none, as rules are never named 0
         name[kept] = first + len(rules) + np.arange(len(kept))
-        chosen = chosen[name[h[chosen]] >= 0]
-        rules = np.concatenate([rules, np.stack([a[stands[kept]], b[stands[kept]]], axis=1)])
-        seq, last = seq.copy(), last.copy()
-        seq[chosen] = name[h[chosen]]
+        named = name[bucket[chosen]]
+        chosen, named = chosen[named > 0], named[named > 0]
+        rules = np.concatenate([rules, np.stack([counted[kept] >> np.uint64(32), counted[kept] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        seq[chosen] = named
         last[chosen] = last[chosen + 1]
-        seq, last = np.delete(seq, chosen + 1), np.delete(last, chosen + 1)
-        if len(chosen) < 0.01 * len(seq):
+        stays = np.ones(len(seq), bool)
+        stays[chosen + 1] = False
+        seq, last = seq[stays], last[stays]
+        if len(chosen) < SMALL_ROUND * len(seq):
             break
     return seq, last, rules
 

@@ -42,15 +42,33 @@ def word_pieces(text: str) -> list[str]:
     return _WORDS.findall(text) if any(x in text for x in _SEPARATORS) else text.split()
 
 
+def _byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself where it is printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+#: Keys whose pre-tokens are known, a line end, letters and a stop, and that no tokenizer changes but for lower case; the model can have them directly.
+_PLAIN = re.compile("(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+
+
 class Memo(dict):
     """Keys to packed ids."""
 
-    def __init__(self, tokenizer: Tokenizer, text_of, width: int, limit: int = MEMO) -> None:
-        self.tokenizer, self.text_of, self.width, self.limit = tokenizer, text_of, width, limit
+    def __init__(self, tokenizer: Tokenizer, kind: str, width: int, limit: int = MEMO) -> None:
+        self.tokenizer, self.model, self.kind, self.width, self.limit = tokenizer, tokenizer.model, kind, width, limit
+
+    def _ids(self, key: str) -> list[int]:
+        if m := _PLAIN.fullmatch(key):
+            line, word, stop = m.groups()
+            word = word.lower() if self.kind == "word" else word if line else " " + word
+            return [t.id for part in (line, word, stop) if part for t in self.model.tokenize("".join([_LETTERS[b] for b in part.encode()]))]
+        return self.tokenizer.encode(key if self.kind == "word" else byte_level_text(key), add_special_tokens=False).ids
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.tokenizer.encode(self.text_of(key), add_special_tokens=False).ids
-        packed = b"".join([i.to_bytes(self.width, "little") for i in ids])
+        packed = b"".join([i.to_bytes(self.width, "little") for i in self._ids(key)])
         if len(key) <= MEMO_WORD:
             if len(self) >= self.limit:
                 self.clear()
@@ -59,7 +77,7 @@ class Memo(dict):
 
 
 class PackedEncoder:
-    """kind: "byte_level" or "word", as the tokenizer treats white space."""
+    """kind: "byte_level" or "word" (lower case, white space dropped), as the tokenizer's file has it; both write bytes as letters."""
 
     def __init__(self, path: str, kind: str) -> None:
         tokenizer = Tokenizer.from_file(path)
@@ -67,7 +85,7 @@ class PackedEncoder:
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.vocabulary = tokenizer.get_vocab_size()
         self.pieces = {"byte_level": byte_level_pieces, "word": word_pieces}[kind]
-        self.memo = Memo(tokenizer, {"byte_level": byte_level_text, "word": str}[kind], self.width)
+        self.memo = Memo(tokenizer, kind, self.width)
 
     def __call__(self, text: str | None) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
