@@ -88,10 +88,11 @@ def _merged(templates: DataFrame, depth: int, z: float) -> DataFrame:
         templates = templates.select(
             "*", F.sum("good").over(own).alias("g"), F.sum(F.col("good") + F.col("bad")).over(own).alias("k"),
             F.sum("good").over(all_).alias("pg"), F.sum(F.col("good") + F.col("bad")).over(all_).alias("pk"),
+            (F.min("branch").over(all_) != F.max("branch").over(all_)).alias("siblings"),
         )
         share = (F.col("pg") + 1) / (F.col("pk") + 2)
         far = F.abs(F.col("g") - F.col("k") * share) > z * F.sqrt(F.col("k") * share * (1 - share))
-        templates = templates.withColumn("branch", F.when((F.size("branch") > d) & ~far, F.col("parent")).otherwise(F.col("branch"))).drop("parent", "g", "k", "pg", "pk")
+        templates = templates.withColumn("branch", F.when((F.size("branch") > d) & F.col("siblings") & ~far, F.col("parent")).otherwise(F.col("branch"))).drop("parent", "g", "k", "pg", "pk", "siblings")
         templates = materialise(templates, f"branches-{d}")
     return templates
 

@@ -85,7 +85,7 @@ class Packer:
         alive = np.ones(len(self.items), bool)
         while alive.sum() > keep:
             left, made = self.most.copy(), []
-            while left[0] > 0 and left[1] > 0 and left[2] > 0:
+            while left[0] > 0 and left[1] > 0:
                 fits = alive & (self.demand <= left).all(axis=1)
                 if fits.any():
                     k = int(np.where(fits, share @ (left * weight), -1).argmax())

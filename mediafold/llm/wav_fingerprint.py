@@ -61,21 +61,23 @@ def samples(frames: bytes, width: int, channels: int) -> np.ndarray:
 
 
 def spectral_peaks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and frequency bins of the peaks, ordered by both: the strongest bin of a band where it is louder than in the
-    frames before and after. The spectra are made in blocks of frames, so memory is bounded."""
+    """Frames and frequency bins of the peaks, ordered by both: the strongest bin of a band where it is no weaker than the
+    bins beside it, in the next band too, and louder than the band's in the frames before and after. The spectra are made in blocks of frames, so memory is bounded."""
     n = max(1, -(-len(x) // HOP))
     padded = np.zeros((n + 1) * HOP, np.float32)
     padded[: len(x)] = x
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     bands = list(zip(BANDS, BANDS[1:], strict=False))
-    best, loud = np.empty((n, len(bands)), np.int32), np.empty((n, len(bands)), np.float32)
+    best, loud, summit = np.empty((n, len(bands)), np.int32), np.empty((n, len(bands)), np.float32), np.empty((n, len(bands)), bool)
     for at in range(0, n, FRAMES_AT_ONCE):
         spectrum = np.fft.rfft(frames[at : at + FRAMES_AT_ONCE] * _WINDOW, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
         for b, (low, high) in enumerate(bands):
             k = power[:, low:high].argmax(axis=1) + low
-            best[at : at + len(k), b], loud[at : at + len(k), b] = k, power[np.arange(len(k)), k]
-    peak = loud > 1e-3
+            row, part = np.arange(len(k)), slice(at, at + len(k))
+            best[part, b], loud[part, b] = k, power[row, k]
+            summit[part, b] = (power[row, k] >= power[row, k - 1]) & (power[row, k] >= power[row, np.minimum(k + 1, power.shape[1] - 1)])
+    peak = summit & (loud > 1e-3)
     peak[1:] &= loud[1:] >= loud[:-1]
     peak[:-1] &= loud[:-1] > loud[1:]
     at, _ = np.nonzero(peak)
