@@ -77,18 +77,18 @@ def mel_bank_sum(spark, sf_dir):
 
 
 def log_mel_documents(spark, sf_dir):
-    """Each text's bytes as a sound of 8 kHz, resampled, fitted to ten seconds, and its spectrogram summed up. No SQL for it."""
+    """Each text's bytes as a sound of 48 kHz, fitted to ten seconds, and its spectrogram summed up. No SQL for it."""
 
     @F.pandas_udf("frames int, bands int, mean double, most double")
     def summary(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             x = (np.frombuffer((t or "").encode(), np.uint8).astype(np.float32) - 128) / 128
-            m = log_mel(fit(resample(x, 8000)))
+            m = log_mel(fit(x))
             out.append((*m.shape, float(m.mean()), float(m.max())))
         return pd.DataFrame(out, columns=["frames", "bands", "mean", "most"])
 
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 50 = 0").select("doc_id", summary("text").alias("s"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", summary("text").alias("s"))
     return rows.select("doc_id", "s.frames", "s.bands", F.round("s.mean", 4).alias("mean"), F.round("s.most", 4).alias("most"))
 
 

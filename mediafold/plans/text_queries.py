@@ -76,12 +76,9 @@ def stderr_tail(spark, sf_dir):
 
 
 def component_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # ranks within a host, so that no task has all rows
-    host = F.element_at(F.split("url", "/"), 3)
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(path_order(F.col("url")), "page_id"))
-    return _table(spark, sf_dir, "pages").select("page_id", "url", host.alias("host")).select("page_id", "host", rank.cast("long").alias("place"))
+    """All pages in path order: a range sort, which deals a busy host's pages to several tasks."""
+    key = path_order(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.array_join(key, "|").alias("components"), key.alias("key")).orderBy("key", "page_id").drop("key")
 
 
 def _records(spark, sf_dir) -> DataFrame:
@@ -203,7 +200,7 @@ SQL = {
     "data_urls": "SELECT doc_id, 'data:text/plain;base64,' || base64(encode(left(text, 100))) AS url FROM documents",
     "sidecar_names": "SELECT p_partkey, p_name || '.mediafold.json' AS path FROM part",
     "stderr_tail": r"""SELECT doc_id, array_to_string(l[greatest(1, len(l) - 4):], E'\n') AS tail FROM (SELECT doc_id, string_split(regexp_replace(left(translate(text, ' ', E'\n'), 400), '\n$', ''), E'\n') AS l FROM documents)""",
-    "component_sort": "SELECT page_id, split_part(url, '/', 3) AS host, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY string_split(url, '/'), page_id) AS place FROM pages",
+    "component_sort": "SELECT page_id, replace(url, '/', '|') AS components FROM pages",
     "strict_exit": "SELECT path, 'unreadable' AS error FROM (SELECT 'parts/' || p_name || '/' || lpad(p_partkey::VARCHAR, 9, '0') AS path FROM part WHERE p_partkey % 50 = 0) ORDER BY string_split(path, '/') LIMIT 1",
     "endpoint_precedence": f"""SELECT id, url, rtrim(url, '/') || '/chat/completions' AS chat FROM (SELECT id, coalesce(nullif(flag, ''), nullif(env, ''), nullif(common_flag, ''), nullif(common_env, '')) AS url FROM {_ENDPOINTS})""",
     "missing_binaries": f"SELECT id, regexp_matches(message, 'No such file|not found|is it installed') AS missing FROM {_MESSAGES}",
