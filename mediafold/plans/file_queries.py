@@ -88,7 +88,8 @@ def log_mel_documents(spark, sf_dir):
             out.append((*m.shape, float(m.mean()), float(m.max())))
         return pd.DataFrame(out, columns=["frames", "bands", "mean", "most"])
 
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", summary("text").alias("s"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    rows = docs.select("doc_id", summary("text").alias("s"))
     return rows.select("doc_id", "s.frames", "s.bands", F.round("s.mean", 4).alias("mean"), F.round("s.most", 4).alias("most"))
 
 
