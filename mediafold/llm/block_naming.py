@@ -89,7 +89,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an earlier one has, columns unchanged. docs is a table that is read alike each time."""
     kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("row_id").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept.hint("merge"), "_row", "left_semi").drop("_row")
 
 
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
