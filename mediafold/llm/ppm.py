@@ -37,11 +37,30 @@ from mediafold.llm._common import materialise, table
 ORDER = 5
 CHUNK_BYTES = 16 << 20
 ALPHABET = 252  # bytes but the five control characters 9 to 13, of which 10 is used as the end mark
-AT_ONCE = 1 << 21  # bytes
+AT_ONCE = 1 << 20  # bytes of text
+MERGE = 1 << 19  # keys that a chunk gathers before they are summed
 END = b"\n"
 STRINGS, WORDS = 0, 1
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The numbers' bytes, first bytes first: bytes that hardly differ stand together and are compressed where they are stored or sent."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
@@ -99,6 +118,8 @@ def count_chunk(texts: list[bytes | None], train: np.ndarray, order: int) -> dic
             if own:
                 keys, n = np.unique(sequences(own, order)[0], return_counts=True)
                 found.append((keys, n if flag else np.zeros(len(n), np.int64)))
+        if sum(len(k) for k, _ in found) > len(found[0][0]) + MERGE:
+            found = [summed(*map(np.concatenate, zip(*found, strict=True)))]
         for w, u in zip(words, use, strict=True):
             (learnt if u else others).update(w)
             (learnt if u else others).update([END])
@@ -115,19 +136,20 @@ def _count(order: int, buckets: int):
             deal = np.argsort(bucket, kind="stable")
             keys, counts, bucket = keys[deal], counts[deal], bucket[deal]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            rows += [(kind, int(bucket[i]), number, keys[i:j].tobytes(), counts[i:j].astype(np.int64).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            rows += [(kind, int(bucket[i]), number, packed_keys(keys[i:j]), packed(counts[i:j].astype("<u4"))) for i, j in zip(cut[:-1], cut[1:], strict=True)]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "chunk", "keys", "counts"])
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
+def _joined(column: pa.ChunkedArray, kind: str | None = None) -> np.ndarray:
+    """The numbers of all blocks; without a kind, keys."""
+    return np.concatenate([unpacked(x, kind) if kind else unpacked_keys(x) for x in column.to_pylist()])
 
 
 def _totals(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return summed(_joined(blocks["keys"], "<u8"), _joined(blocks["counts"], "<i8"))
+    return summed(_joined(blocks["keys"]), _joined(blocks["counts"], "<u4").astype(np.int64))
 
 
 def _string_totals(blocks: pa.Table) -> pa.Table:
@@ -137,7 +159,7 @@ def _string_totals(blocks: pa.Table) -> pa.Table:
 
 def _word_totals(blocks: pa.Table) -> pa.Table:
     keys, n = _totals(blocks)
-    row = (WORDS, blocks["bucket"][0].as_py(), keys.tobytes(), n.astype(np.float64).tobytes(), int(n.sum()), int((n > 0).sum()))
+    row = (WORDS, blocks["bucket"][0].as_py(), packed_keys(keys), packed(n.astype("<f8")), int(n.sum()), int((n > 0).sum()))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
     return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["kind", "bucket", "keys", "values", "tokens", "different"])
 
@@ -145,7 +167,7 @@ def _word_totals(blocks: pa.Table) -> pa.Table:
 def _string_blocks(rows: pa.Table) -> pa.Table:
     keys, values = rows["string"].to_numpy().astype(np.uint64), rows["logp"].to_numpy()
     order = np.argsort(keys)
-    row = (STRINGS, rows["bucket"][0].as_py(), keys[order].tobytes(), values[order].tobytes())
+    row = (STRINGS, rows["bucket"][0].as_py(), packed_keys(keys[order]), packed(values[order]))
     return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "keys", "values"])
 
 
@@ -198,12 +220,11 @@ class Lookup:
         return self.values[at]
 
 
-def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for keys, known, values in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            found.append(np.frombuffer(values, "<f8")[np.searchsorted(np.frombuffer(known, "<u8"), np.frombuffer(keys, "<u8"))].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["chunk", "kind", "keys", "values"])
+def _look_up(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The values of the keys that each chunk asked for in this bucket."""
+    known, values = _joined(model["keys"]), _joined(model["values"], "<f8")
+    found = [packed(values[np.searchsorted(known, unpacked_keys(k))]) for k in asked["keys"].to_pylist()]
+    return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "keys": asked["keys"], "values": pa.array(found, pa.binary())})
 
 
 def score_chunk(texts: list[bytes | None], strings: Lookup, counts: Lookup, tokens: int, different: int, order: int) -> dict[str, list]:
@@ -229,7 +250,7 @@ def _score(order: int, tokens: int, different: int):
         found = []
         for kind in (STRINGS, WORDS):
             own = blocks.filter(pc.equal(blocks["kind"], kind))
-            found.append(Lookup(_joined(own["keys"], "<u8"), _joined(own["values"], "<f8")))
+            found.append(Lookup(_joined(own["keys"]), _joined(own["values"], "<f8")))
         scores = score_chunk(chunk["text"].cast(pa.binary()).to_pylist(), *found, tokens, different, order)
         held_out = pc.invert(chunk["train"])
         return pa.table({"id": chunk["id"], "held_out": held_out, "n_tokens": pa.array(scores["n_tokens"], pa.int64()), "n_known": pa.array(scores["n_known"], pa.int64()), "base_score": scores["base_score"], "score": scores["score"]})
@@ -256,9 +277,9 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     strings = materialise(blocks.filter(F.col("kind") == STRINGS).groupBy("bucket").applyInArrow(_string_totals, "string long, n long"), "ppm-strings")
     model = log_probabilities(strings, order).withColumn("bucket", F.pmod("string", F.lit(chunks)).cast("int"))
     model = model.groupBy("bucket").applyInArrow(_string_blocks, "kind int, bucket int, keys binary, values binary")
-    model = model.unionByName(words.select("kind", "bucket", "keys", "values")).withColumnRenamed("keys", "known")
-    asked = blocks.join(model, ["kind", "bucket"]).select("chunk", "kind", "keys", "known", "values")
-    asked = asked.mapInArrow(_look_up, "chunk int, kind int, keys binary, values binary")
+    model = model.unionByName(words.select("kind", "bucket", "keys", "values"))
+    asked = blocks.select("kind", "bucket", "chunk", "keys").groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket"))
+    asked = asked.applyInArrow(_look_up, "chunk int, kind int, keys binary, values binary")
     kind = docs.schema[id_col].dataType.simpleString()
     scored = (
         rows.groupBy("chunk")
