@@ -138,6 +138,18 @@ def test_near_duplicates_by_five_word_shingles(spark, tmp_path):
     assert kept == {group.index(g) for g in set(group)} | {i for i, _ in clean + half}
 
 
+def test_repeated_lines_do_not_hide_near_duplicates(spark, tmp_path):
+    rows = []
+    for k in range(20):
+        line = " ".join(f"line{k}w{j}" for j in range(12))
+        text = " ".join(f"text{k}w{j}" for j in range(300))
+        rows += [(2 * k, f"{text} {line}"), (2 * k + 1, f"{text} {' '.join([line] * 30)}")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    kept = {r["doc_id"] for r in simhash_similar.drop_near_duplicates(spark.read.parquet(path)).collect()}
+    assert kept == {2 * k for k in range(20)}
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     kept = simhash_similar.drop_near_duplicates(edge_docs)
     texts = Counter(" ".join((r["text"] or "").encode().lower().decode().split()) for r in kept.collect())
