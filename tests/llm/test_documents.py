@@ -150,6 +150,50 @@ def test_repeated_lines_do_not_hide_near_duplicates(spark, tmp_path):
     assert kept == {2 * k for k in range(20)}
 
 
+def similar_pairs(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    order = sorted(sets)
+    return [(a, b) for k, b in enumerate(order) for a in order[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def family(n, shared, own, pairs):
+    """n texts of one passage, 0.7 alike or less, and a near copy of each of the last ``pairs``: over 0.8."""
+    passage = " ".join(f"p{k}" for k in range(shared))
+    rows = [(k, f"{passage} {' '.join(f'o{k}x{j}' for j in range(own))}") for k in range(n)]
+    return rows + [(n + k, " ".join(rows[n - 1 - k][1].split()[:-3] + [f"new{k}"])) for k in range(pairs)]
+
+
+def test_near_duplicates_inside_a_large_family(spark, tmp_path):
+    rows = family(300, 60, 14, 60)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    kept = {r["doc_id"] for r in simhash_similar.drop_near_duplicates(spark.read.parquet(path)).collect()}
+    pairs = similar_pairs(rows)
+    assert len(pairs) == 60 and kept == set(groups_of(pairs, [i for i, _ in rows]).values())
+
+
+@pytest.mark.parametrize("block", [8, simhash_similar.BLOCK])
+def test_candidates_hold_every_similar_pair(spark, block):
+    rng = random.Random(7)
+    rows = family(60, 40, 8, 20)
+    for size in (5, 8, 9, 12, 19, 30, 90, 250):  # sets of 1, 4, 5, 8, 15, 26, 86, 246 shingles, also at just 0.8
+        for _ in range(12):
+            w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            cut = rng.randrange(max(1, size // 4))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[cut:])), (len(rows) + 2, " ".join(w + w[:cut] * rng.randrange(1, 5)))]
+    docs = spark.createDataFrame(rows, "row long, text string")
+    counts = simhash_similar.slot_counts(docs, 5)
+    signed = docs.mapInArrow(simhash_similar._signatures(counts, 5, 0.8), "row long, size int, sketch long, fold array<long>, keys array<long>")
+    none = spark.createDataFrame([], "node long, root long")
+    found = {(r["a"], r["b"]) for r in simhash_similar.other_candidates(signed, none, counts, 0.8, block).collect()}
+    pairs = similar_pairs(rows)
+    assert len(pairs) > 150 and set(pairs) <= found and len(found) < 2 * len(pairs)
+    linked = spark.createDataFrame([(b, a) for a, b in pairs[::2]], "node long, root long").dropDuplicates(["node"])
+    root = {r["node"]: r["root"] for r in linked.collect()}
+    rest = {(r["a"], r["b"]) for r in simhash_similar.other_candidates(signed, linked, counts, 0.8, block).collect()}
+    assert rest == {(a, b) for a, b in found if root.get(a, a) != root.get(b, b)}
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     kept = simhash_similar.drop_near_duplicates(edge_docs)
     texts = Counter(" ".join((r["text"] or "").encode().lower().decode().split()) for r in kept.collect())
