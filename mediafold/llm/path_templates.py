@@ -1,8 +1,9 @@
 """URL verdicts by rules and by a path-template tree per host, with DataFrame operations only.
 
-The tree is grown level by level, at most ``DEPTH`` levels (a documented parameter: what lies deeper is one last segment, "**").
-At each node of a host's tree a segment becomes a wildcard if it holds digits (the digits become "*") or if the node has over
-``CHILDREN`` different segments ("*"). So a node keeps few named branches. Then, from the deepest level up, a branch whose share
+The tree is grown level by level, at most ``depth`` levels (what lies deeper is one last segment, "**") or, if it is None, all.
+At each node of a host's tree the digits of a segment become "*". If the node has over ``CHILDREN`` different segments after that,
+those without any label become "*" as a whole; the test below would merge them anyway. Every segment with labels keeps its name, at any
+number of siblings. Then, from the deepest level up, a branch whose share
 of good labels doesn't differ from that of its siblings together, by a z-test of a proportion, is merged with them into "*".
 Each template that is left has the smoothed purity (good + PRIOR * g) / (labelled + PRIOR), g being the share of good among all
 labels; a template of a purity under ``PURITY`` is rejected and its urls get the verdict block.
@@ -60,29 +61,37 @@ def longest_rule(rules: Sequence[tuple[str, str, str]], host: Column, path: Colu
     return text, verdict
 
 
-def _generalised(urls: DataFrame, depth: int, children: int) -> DataFrame:
-    """urls (host, segments, ...) with template, an array as long as segments. Each level is one pass over the urls."""
+def _generalised(urls: DataFrame, depth: int | None, children: int) -> DataFrame:
+    """urls (host, segments, ...) with template, an array as long as segments. Each level is one pass over the urls that reach it."""
     urls = materialise(urls.withColumn("template", F.array().cast("array<string>")), "tree-0")
     total, levels = urls.agg(F.count(F.lit(1)), F.max(F.size("segments"))).first()
-    for d in range(min(levels or 0, depth + 1)):
-        segment = F.get("segments", F.lit(d))
+    levels = levels or 0
+    done = []
+    for d in range(levels):
         has = F.size("segments") > d
-        node = urls.withColumn("node", F.array_join("template", "/"))
-        counts = node.filter(has).groupBy("host", "node", segment.alias("segment")).agg(F.count(F.lit(1)).alias("n"))
-        nodes = counts.groupBy("host", "node").agg(F.count(F.lit(1)).alias("branches"), F.sum("n").alias("n"))
-        joined = join_groups(node.filter(has), nodes, ["host", "node"], "n", total).drop("n")
-        named = F.when(F.col("branches") > children, F.regexp_replace(segment, r"^[^.]+", "*")).otherwise(F.regexp_replace(segment, "[0-9]+", "*"))
-        named = F.when((F.lit(d) == 0) | (segment == "**"), segment).otherwise(named)
-        grown = joined.withColumn("template", F.concat("template", F.array(named))).select(urls.columns)
-        urls = materialise(grown.unionByName(urls.filter(~has)), f"tree-{d + 1}")
+        segment = F.get("segments", F.lit(d))
+        last = F.lit(depth is not None and d == depth)
+        plain = F.when(last | F.lit(d == 0), segment).otherwise(F.regexp_replace(segment, "[0-9]+", "*"))
+        node = urls.filter(has).withColumns({"node": F.array_join("template", "/"), "plain": plain})
+        done.append(urls.filter(~has))
+        counts = node.groupBy("host", "node", "plain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labelled"))
+        counts = materialise(counts, f"segments-{d}")
+        nodes = counts.groupBy("host", "node").agg(F.count(F.lit(1)).alias("branches"))
+        named = counts.join(nodes, ["host", "node"])
+        rare = (F.col("branches") > children) & (F.col("labelled") == 0) & ~last & F.lit(d > 0)
+        named = named.withColumn("named", F.when(rare, F.regexp_replace("plain", r"^[^.]+", "*")).otherwise(F.col("plain"))).drop("branches", "labelled")
+        grown = join_groups(node, named, ["host", "node", "plain"], "n", total)
+        urls = materialise(grown.withColumn("template", F.concat("template", F.array("named"))).select(urls.columns), f"tree-{d + 1}")
+    for rows in done:
+        urls = urls.unionByName(rows)
     return urls
 
 
-def _merged(templates: DataFrame, depth: int, z: float) -> DataFrame:
+def _merged(templates: DataFrame, depth: int | None, z: float) -> DataFrame:
     """templates (host, template, n, good, bad) with ``branch``, the template after merging."""
     templates = templates.withColumn("branch", F.col("template"))
     levels = templates.agg(F.max(F.size("template"))).first()[0] or 0
-    for d in reversed(range(1, min(levels, depth + 1))):
+    for d in reversed(range(1, levels if depth is None else min(levels, depth + 1))):
         templates = templates.withColumn("parent", F.transform("branch", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s)))
         own, all_ = Window.partitionBy("host", "branch"), Window.partitionBy("host", "parent")
         templates = templates.select(
@@ -99,12 +108,12 @@ def _merged(templates: DataFrame, depth: int, z: float) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url",
-    label_id_col: str = "doc_id", good_col: str = "quality", depth: int = DEPTH, children: int = CHILDREN, purity: float = PURITY,
+    label_id_col: str = "doc_id", good_col: str = "quality", depth: int | None = DEPTH, children: int = CHILDREN, purity: float = PURITY,
 ) -> DataFrame:
     """One row per url: ``id_col``, host, path, rule, verdict, template and purity. ``good_col`` is 1 for good, 0 for bad."""
     urls = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     cut = F.split("path", "/")
-    tail = F.when(F.size(cut) > depth, F.concat(F.slice(cut, 1, depth), F.array(F.lit("**")))).otherwise(cut)
+    tail = cut if depth is None else F.when(F.size(cut) > depth, F.concat(F.slice(cut, 1, depth), F.array(F.lit("**")))).otherwise(cut)
     known = labels.filter(labels[label_id_col].isNotNull()).groupBy(labels[label_id_col].alias("id")).agg(F.count_if(labels[good_col] == 1).alias("good"), F.count_if(labels[good_col] == 0).alias("bad"))
     urls = urls.join(known, "id", "left").fillna(0, ["good", "bad"])
     urls = _generalised(urls.withColumn("segments", tail), depth, children)
@@ -125,4 +134,4 @@ def judge_urls(
 
 def op5_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels: the quality of ``labels``, taken as that of the page of the same number."""
-    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES, depth=None)

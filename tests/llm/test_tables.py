@@ -122,6 +122,21 @@ def test_impure_branches_are_rejected_and_alike_ones_merged(spark):
     assert {got[k]["template"] for k in range(400, 440)} == {"/*/x"}
 
 
+def test_frequent_sections_are_judged_at_any_number_of_siblings_and_depth(spark):
+    urls, labels = [], []
+    for k in range(900):
+        section = "casino" if k % 3 == 0 else f"topic{chr(97 + k % 20)}"  # over 16 sections
+        urls.append(f"http://many.org/{section}/p{k}")
+        labels.append((k, int(section != "casino")))
+    for k in range(900, 1000):
+        section = ("spam", "news")[k % 2]
+        urls.append(f"http://deep.org/a/b/c/d/e/f/g/h/i/{section}/p{k}")
+        labels.append((k, int(section != "spam")))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = path_templates.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int"), depth=None).collect()
+    assert len(rows) == 1000 and all((r["verdict"] == "block") == ("/casino/" in r["path"] or "/spam/" in r["path"]) for r in rows)
+
+
 def test_no_urls_and_no_labels(spark):
     got, want, _ = judged_and_wanted(spark, URLS, [], ())
     assert len(got) == len(URLS) and all(r["verdict"] == "allow" for r in got.values())
