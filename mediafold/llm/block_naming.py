@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediafold.llm._common import join_groups, materialise, table
+from mediafold.llm._common import free_name, join_groups, materialise, table, without
 
 BLOCK = 1024
 SALTS = 256
@@ -88,8 +88,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an earlier one has, columns unchanged. docs is a table that is read alike each time."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("row_id").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept.hint("merge"), "_row", "left_semi").drop("_row")
+    at = free_name(docs, "row")
+    gone = exact_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("row_id").alias(at))
+    rows = docs.withColumn(at, F.monotonically_increasing_id())
+    return without(rows, at, materialise(gone, "exact-duplicates")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,17 +183,58 @@ def test_candidates_hold_every_similar_pair(spark, block):
             rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[cut:])), (len(rows) + 2, " ".join(w + w[:cut] * rng.randrange(1, 5)))]
     docs = spark.createDataFrame(rows, "row long, text string")
     counts = simhash_similar.slot_counts(docs, 5)
-    signed = docs.mapInArrow(simhash_similar._signatures(counts, 5, 0.8), "row long, size int, sketch long, fold array<long>, keys array<long>")
-    none = spark.createDataFrame([], "node long, root long")
-    found = {(r["a"], r["b"]) for r in simhash_similar.other_candidates(signed, none, counts, 0.8, block).collect()}
+    shared = simhash_similar.first_shared(docs.mapInArrow(simhash_similar._signatures(counts, 5, 0.8), simhash_similar.SIGNATURE))
+    found = {(r["a"], r["b"]) for r in simhash_similar.other_candidates(shared, 0.8, block).collect()}
     pairs = similar_pairs(rows)
     assert len(pairs) > 150 and set(pairs) <= found and len(found) < 2 * len(pairs)
     linked = spark.createDataFrame([(b, a) for a, b in pairs[::2]], "node long, root long").dropDuplicates(["node"])
     root = {r["node"]: r["root"] for r in linked.collect()}
-    rest = {(r["a"], r["b"]) for r in simhash_similar.other_candidates(signed, linked, counts, 0.8, block).collect()}
+    rest = {(r["a"], r["b"]) for r in simhash_similar.other_candidates(simhash_similar.still_shared(shared, linked), 0.8, block).collect()}
     assert rest == {(a, b) for a, b in found if root.get(a, a) != root.get(b, b)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aB \t\ncé\x00"), max_size=60)), min_size=1, max_size=6), st.integers(1, 80), st.integers(1, 5))
+def test_shingle_sets(texts, at_once, words):
+    raw = [None if t is None else t.encode() for t in texts]
+    before, simhash_similar.AT_ONCE = simhash_similar.AT_ONCE, at_once
+    try:
+        cut = list(simhash_similar.shingle_sets(raw, words))
+    finally:
+        simhash_similar.AT_ONCE = before
+    whole = list(simhash_similar.shingle_sets(raw, words))
+    brute = [set(simhash_similar._byte_shingles(t, words)) for t in raw]
+    assert len(cut) == len(raw) and all((a == b).all() and len(a) == len(s) for a, b, s in zip(cut, whole, brute, strict=True))
+    for a, p in zip(whole, brute, strict=True):
+        for b, q in zip(whole, brute, strict=True):
+            assert len(np.intersect1d(a, b)) == len(p & q)
+
+
+@pytest.mark.parametrize("work", ["_pairs", "_nearest"])
+def test_cells_in_batches_are_those_of_one_batch(work):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n, words = 600, simhash_similar.FOLD
+    cell = np.sort(rng.integers(0, 30, n))
+    folds = np.repeat(rng.integers(0, 1 << 62, (n // 6, words)), 6, axis=0)[rng.permutation(n)]
+    columns = [cell, np.arange(n), np.arange(n), np.full(n, 50, np.int32), np.zeros(n, np.int32), np.full(n, 2, np.int8), np.zeros(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([f.tobytes() for f in folds])], ["cell", "row", "root", "size", "place", "side", "sketch", "fold"])
+    found = lambda parts: {tuple(x.values()) for out in getattr(simhash_similar, work)(0.8)(iter(parts)) for x in out.to_pylist()}
+    one = found([batch])
+    assert one == found([batch.slice(k, 7) for k in range(0, n, 7)]) == found([batch.slice(k, 90) for k in range(0, n, 90)])
+    assert len(one) > 30
+
+
+def test_dedup_keeps_columns_of_any_name(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a b", 77, 7), (2, "a  b", 78, 8), (3, "c", 79, 9)], "doc_id long, text string, row int, _ROW int").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for drop in (simhash_similar.drop_near_duplicates, block_naming.drop_exact_duplicates):
+        kept = drop(docs)
+        assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b", 77, 7), (3, "c", 79, 9)]
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     kept = simhash_similar.drop_near_duplicates(edge_docs)
     texts = Counter(" ".join((r["text"] or "").encode().lower().decode().split()) for r in kept.collect())
@@ -201,25 +242,6 @@ def test_near_duplicate_edges(edge_docs, no_docs):
     assert simhash_similar.drop_near_duplicates(no_docs).count() == 0
 
 
-def test_meeting_keys_in_batches_are_those_of_one_batch():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(2)
-    key = np.sort(rng.integers(0, 30, 600))
-    row, sketch = np.arange(600), rng.integers(0, 1 << 10, 600)
-    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(sketch)], ["key", "row", "sketch"])
-    pairs = lambda parts: {(a, b) for out in simhash_similar._meet(iter(parts)) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
-    one = pairs([batch])
-    assert one == pairs([batch.slice(k, 7) for k in range(0, 600, 7)]) == pairs([batch.slice(k, 90) for k in range(0, 600, 90)])
-    assert len(one) > 600
-
-
-def test_recall_plan():
-    for n in (100, 10**5, 10**8):
-        bits, tables = simhash_similar.plan(n)
-        assert n <= 1 << bits and 1 - (1 - simhash_similar.agreement(0.8) ** bits) ** tables >= 0.99
-
-
 def brute_ppm(train, texts, order):
     """Log10 probabilities, from the definition."""
     follow = defaultdict(Counter)
