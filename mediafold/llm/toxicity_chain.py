@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain: linear models over hashed words, each given the probabilities of the categories before it.
 
-A text's features are which words (runs of letters, lower case) it has, and which beginnings of ``PREFIXES`` letters. A category's model
-is a logistic regression on these features, each scaled by its log-count ratio in the training rows, and on the log-odds of the earlier
+A text's features are which words (runs of letters, lower case) it has, and for each beginning of ``PREFIXES`` letters whether as many different
+words as each of ``LEVELS`` have it, so an inflected vocabulary counts for more than a chance word. A category's model
+is a logistic regression on these features, each scaled by its log-count ratio in the training rows, and on the probabilities of the earlier
 categories. For training these come from models fitted without the row's own fold, so a later model sees the earlier ones as
 they are on unseen texts; for scoring from the models fitted on all folds.
 
@@ -9,14 +10,15 @@ The models are fitted on at most ``TRAIN_ROWS`` labelled rows, those of the smal
 are fitted at once, each as one group of that bounded size. The weights, ``FEATURES`` numbers a category, go to the tasks that
 score; scoring shuffles nothing.
 
-Defined cases: a null or empty text has no features and gets the prior's odds; rows with a null label are left out for that category; null
-ids have no labels; of several labels of one id each counts; a category without labels, or with one kind of label only, has a model
-without weights, whose prior counts half a row of each kind more, and one bad row less, so nothing is rejected without evidence; repeated rows
+Defined cases: a null or empty text has no features and gets the prior's probabilities; rows with a null label are left out for that category; null
+ids have no labels; of several labels of one id each counts, with the least of the id's texts; a category without labels, or with one kind of label only, has a model
+without weights, whose prior counts half a bad row and nine and a half good rows more, so nothing is rejected without evidence; repeated rows
 are scored alike; an empty table gives an empty result; ``keep_clean`` passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -30,22 +32,23 @@ from mediafold.llm._common import materialise, table
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5)
+LEVELS = (1, 2, 3, 4, 6)
 TRAIN_ROWS = 4096
 FOLDS = 3
 STEPS = 30
 L2 = 1.0
-THRESHOLD = 0.5
+THRESHOLD = 0.1  # toxic texts are rare, and a word that only they have says much
 ROWS = 128
 MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-class _Features(dict):
-    """Words to the packed numbers of their features; bounded."""
+class _Codes(dict):
+    """Words to the packed codes of the word (even) and of its beginnings (odd); bounded."""
 
     def __missing__(self, word: str) -> bytes:
-        names = {word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n)}
-        packed = np.array([zlib.crc32(x.encode()) % FEATURES for x in names], "<i4").tobytes()
+        codes = [zlib.crc32(word.encode()) & ~1, *(zlib.crc32(word[:n].encode()) | 1 for n in PREFIXES if len(word) >= n)]
+        packed = np.array(codes, "<u4").tobytes()
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 40:
@@ -53,12 +56,22 @@ class _Features(dict):
         return packed
 
 
-_memo = _Features()
+_memo = _Codes()
+
+
+def _numbers(codes: np.ndarray, level: int) -> np.ndarray:
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0xC2B2AE3D27D4EB4F % (1 << 64))
+    return (mixed >> np.uint64(64 - (FEATURES.bit_length() - 1))).astype(np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted numbers of a text's features."""
-    return np.unique(np.frombuffer(b"".join(map(_memo.__getitem__, set(_WORD.findall((text or "").lower())))), "<i4"))
+    codes = np.sort(np.frombuffer(b"".join(map(_memo.__getitem__, set(_WORD.findall((text or "").lower())))), "<u4"))
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    codes, words = codes[first], np.diff(first, append=len(codes))
+    beginning = (codes & 1).astype(bool)
+    found = [_numbers(codes[~beginning], 0), *(_numbers(codes[beginning & (words >= n)], n) for n in LEVELS)]
+    return np.unique(np.concatenate(found))
 
 
 def minimised(f, x: np.ndarray, steps: int) -> np.ndarray:
@@ -92,13 +105,13 @@ def minimised(f, x: np.ndarray, steps: int) -> np.ndarray:
 
 
 class Linear:
-    """weights of the features, weights of the earlier categories' log-odds, and the intercept, as one array of float32."""
+    """weights of the features, weights of the earlier categories' probabilities, and the intercept, as one array of float32."""
 
     @staticmethod
     def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> np.ndarray:
         k, positive = earlier.shape[1], int(y.sum())
         out = np.zeros(FEATURES + k + 1)
-        out[-1] = np.log((positive + 0.5) / (len(y) - positive + 1.5))
+        out[-1] = np.log((positive + 0.5) / (len(y) - positive + 9.5))
         if not 0 < positive < len(y):
             return out.astype(np.float32)
         sizes = np.array([len(r) for r in rows])
@@ -130,6 +143,10 @@ class Linear:
     def log_odds(weights: np.ndarray, row: np.ndarray, earlier: Sequence[float]) -> float:
         return float(weights[row].sum(dtype=np.float64) + np.dot(weights[FEATURES:-1], earlier) + weights[-1])
 
+    @staticmethod
+    def probability(weights: np.ndarray, row: np.ndarray, earlier: Sequence[float]) -> float:
+        return 1 / (1 + math.exp(-min(700.0, max(-700.0, Linear.log_odds(weights, row, earlier)))))
+
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -140,37 +157,39 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features, labels (NaN where null) and earlier log-odds."""
+    """Features, labels (NaN where null) and earlier probabilities."""
     labels = np.array([[np.nan if x is None else x for x in r] for r in rows["labels"].to_pylist()], float)
-    return [np.array(r, np.int64) for r in rows["features"].to_pylist()], labels, np.array(rows["odds"].to_pylist(), float).reshape(len(labels), -1)
+    return [np.array(r, np.int64) for r in rows["features"].to_pylist()], labels, np.array(rows["earlier"].to_pylist(), float).reshape(len(labels), -1)
 
 
 def _fit(k: int):
     def run(rows: pa.Table) -> pa.Table:
-        found, labels, odds = _columns(rows)
+        found, labels, earlier = _columns(rows)
         own = np.flatnonzero(~np.isnan(labels[:, k]))
-        weights = Linear.fit([found[i] for i in own], odds[own], labels[own, k])
+        weights = Linear.fit([found[i] for i in own], earlier[own], labels[own, k])
         return pa.table({"without": rows["without"][:1], "weights": pa.array([weights.tobytes()], pa.binary())})
 
     return run
 
 
 def _out_of_fold(rows: pa.Table, model: pa.Table) -> pa.Table:
-    found, _, odds = _columns(rows)
+    found, _, earlier = _columns(rows)
     weights = np.frombuffer(model["weights"][0].as_py(), np.float32)
-    more = [[*o, Linear.log_odds(weights, r, o)] for r, o in zip(found, odds, strict=True)]
-    return rows.select(["fold", "labels", "features"]).append_column("odds", pa.array(more, pa.list_(pa.float64())))
+    more = [[*o, Linear.probability(weights, r, o)] for r, o in zip(found, earlier, strict=True)]
+    return rows.select(["fold", "labels", "features"]).append_column("earlier", pa.array(more, pa.list_(pa.float64())))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, folds: int = FOLDS) -> list[np.ndarray]:
     """The weights of each category, in the order of the chain. categories: by name, a column over labels: 1, 0 or null."""
     kinds = [c.cast("int") for c in categories.values()]
     known = labels.filter(labels[id_col].isNotNull()).select(labels[id_col].alias("id"), F.array(*kinds).alias("labels"))
-    known = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id", F.to_json("labels")).limit(train_rows)
+    known = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id", F.to_json("labels")).limit(train_rows).withColumn("copy", F.monotonically_increasing_id())
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(known), "id")  # of train_rows at most
+    # an id may have any number of rows: one text for each label row stays
+    rows = rows.groupBy("h", "id", "labels", "copy").agg(F.min("text").alias("text"))
     rows = rows.select(F.pmod("h", F.lit(folds)).cast("int").alias("fold"), "labels", "text")
     schema = "fold int, labels array<int>, features array<int>"
-    rows = materialise(rows.mapInArrow(_featured, schema).withColumn("odds", F.array().cast("array<double>")), "chain-0")
+    rows = materialise(rows.mapInArrow(_featured, schema).withColumn("earlier", F.array().cast("array<double>")), "chain-0")
     models = []
     for k in range(len(categories)):
         # each group lacks one fold; the group numbered ``folds`` has all
@@ -183,15 +202,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         models.append(np.frombuffer(whole["weights"], np.float32))
         by_fold = rows.groupBy("fold").cogroup(fitted.filter(F.col("without") < folds).withColumnRenamed("without", "fold").groupBy("fold"))
         if k + 1 < len(categories):
-            rows = materialise(by_fold.applyInArrow(lambda a, b: _out_of_fold(a, b) if a.num_rows else a, f"{schema}, odds array<double>"), f"chain-{k + 1}")
+            rows = materialise(by_fold.applyInArrow(lambda a, b: _out_of_fold(a, b) if a.num_rows else a, f"{schema}, earlier array<double>"), f"chain-{k + 1}")
     return models
 
 
 def probabilities(models: Sequence[np.ndarray], text: str | None) -> list[float]:
-    row, odds = features(text), []
+    row, found = features(text), []
     for weights in models:
-        odds.append(Linear.log_odds(weights, row, odds))
-    return [float(1 / (1 + np.exp(-np.clip(z, -700, 700)))) for z in odds]
+        found.append(Linear.probability(weights, row, found))
+    return found
 
 
 def score_chain(docs: DataFrame, models: list[np.ndarray], names: Sequence[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -317,6 +317,53 @@ def test_chain_feeds_earlier_odds_to_later_models():
     assert w[toxicity_chain.FEATURES] > 1
 
 
+def plain_features(text):
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    number = lambda x, level: int(toxicity_chain._numbers(np.array([x], np.uint32), level)[0])
+    out = {number(zlib.crc32(w.encode()) & ~1, 0) for w in words}
+    for level in toxicity_chain.LEVELS:
+        for beginning, n in Counter(w[:k] for w in words for k in toxicity_chain.PREFIXES if len(w) >= k).items():
+            if n >= level:
+                out.add(number(zlib.crc32(beginning.encode()) | 1, level))
+    return sorted(out)
+
+
+def test_chain_against_a_plain_version(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["badword", "badwords", "good", "plain", "gooder", "other"]) + "xyzw"[: rng.randrange(5)] for _ in range(rng.randrange(12)))) for i in range(90)]
+    rows += [(rows[0][0], "zz repeated id"), (None, "badword"), (200, None)]
+    truth = [(i, 1 - ("plain" in t), int("badword" in t)) for i, t in rows[:90:2]] + [(200, None, 0), (rows[2][0], 0, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    models = toxicity_chain.fit_chain(docs, labels, toxicity_chain.label_categories(labels), folds=3)
+    fold = {r[0]: r[1] for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3))).collect()}
+    text = {i: t for i, t in reversed(rows)}
+    own = [(fold[i], [None if q is None else 1 - q, x], np.array(plain_features(text[i]), np.int64)) for i, q, x in truth]
+    assert all(np.array_equal(f, toxicity_chain.features(text[i])) for (i, _, _), (_, _, f) in zip(truth, own, strict=True))
+    earlier = np.zeros((len(own), 0))
+    for k, model in enumerate(models):
+        fit = lambda use: toxicity_chain.Linear.fit([own[i][2] for i in use], earlier[use], np.array([own[i][1][k] for i in use], float))  # noqa: B023, E731
+        known = [i for i in range(len(own)) if own[i][1][k] is not None]
+        assert np.allclose(model, fit(known), atol=1e-3)
+        out_of_fold = np.zeros(len(own))
+        for f in range(3):
+            without = fit([i for i in known if own[i][0] != f])
+            for i in range(len(own)):
+                if own[i][0] == f:
+                    out_of_fold[i] = toxicity_chain.Linear.probability(without, own[i][2], earlier[i])
+        earlier = np.column_stack([earlier, out_of_fold])
+    p = {(r["doc_id"], r["p_low_quality"], r["p_toxic"]) for r in toxicity_chain.score_chain(docs, models, ["low_quality", "toxic"]).collect()}
+    first = toxicity_chain.Linear.probability(models[0], np.array(plain_features("badword"), np.int64), [])
+    assert any(i is None and abs(a - first) < 1e-9 and abs(b - toxicity_chain.Linear.probability(models[1], np.array(plain_features("badword"), np.int64), [first])) < 1e-9 for i, a, b in p)
+
+
+def test_chain_with_a_labelled_id_of_many_rows(spark):
+    rows = [(1, f"text {k % 7}") for k in range(5000)] + [(2, "fine words"), (3, "bad words")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    once = docs.filter("doc_id <> 1").unionByName(docs.filter("text = 'text 0'").limit(1))
+    many, few = (toxicity_chain.fit_chain(d, labels, toxicity_chain.label_categories(labels)) for d in (docs, once))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(many, few, strict=True))
+
+
 def test_chain_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(14, 1, 1), (14, 1, 1), (4, 1, 0), (11, None, 0), (12, 0, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.filter("false"), labels.filter("toxic = 0")):
