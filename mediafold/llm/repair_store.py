@@ -1,9 +1,9 @@
 """Token ids in a binary shard format, compressed by a Re-Pair grammar, with random access.
 
 Documents are dealt into ranges of ascending id; each task encodes its range in order and cuts it into shards of about
-``SHARD_TOKENS`` ids. In each shard the frequent pairs of neighbouring symbols are replaced by nonterminals, round by round:
-of the pairs that overlap, the more frequent one is replaced, and all that the round chose become rules at once. No pair crosses
-the end of a document, so each document starts at a symbol. A shard stores its alphabet, its rules, the expansion length of each
+``SHARD_TOKENS`` ids. In each shard the frequent pairs of neighbouring symbols are replaced by nonterminals, round by round,
+until no pair has ``MIN_USES`` uses: of the pairs that overlap, the more frequent one is replaced, and all that the round chose become rules at
+once. No pair crosses the end of a document, so each document starts at a symbol. A shard stores its alphabet, its rules, the expansion length of each
 rule, the symbols and the documents' first symbols; any stretch of ids is decoded from the symbols that cover it.
 
 The shards are rows of a Parquet table in the shared folder (``write_store``), written by Spark's committer, so lost tasks are run
@@ -14,8 +14,8 @@ A payload: "RPG1"; six little-endian 64-bit integers (alphabet, rules, symbols,
 alphabet, which are the first symbols, and the rules' left and right symbols and expansion lengths (32 bits each); the symbols (16 or
 32 bits); for each document its first symbol and its number of ids (64 bits each).
 
-Defined cases: a null or empty text has only its end id; null ids come first; rows with equal ids are ordered by text, nulls
-first; an empty table gives an empty store; other columns are not read; a document larger than a shard is a shard of its own.
+Defined cases: a null or empty text has only its end id; null ids come first; rows with equal ids are ordered by the first 32
+characters, nulls first, then by the text's XXH64; an empty table gives an empty store; other columns are not read; a document larger than a shard is a shard of its own.
 """
 
 from __future__ import annotations
@@ -37,55 +37,68 @@ from mediafold.llm.token_memo import packed_encoder
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 8
 MIN_USES = 4  # a rule costs about three symbols
-SMALL_ROUND = 0.04  # of the symbols; a round that replaces fewer is the last
-BUCKETS = 1 << 20
 ROWS = 128
 _HEAD = struct.Struct("<4s6Q")
 
 
-def grammar(symbols: np.ndarray, last: np.ndarray, first: int, rounds: int = ROUNDS, min_uses: int = MIN_USES, most_rules: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grammar(symbols: np.ndarray, last: np.ndarray, first: int, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The symbols (uint32) after all replacements, which of them end a document, and the rules: rule r, named first + r, is a row (left, right).
 
-    Pairs are counted in ``BUCKETS`` buckets; each bucket counts one pair exactly, the last that fell into it, and another pair
-    of the same bucket waits for a later round. So a round takes time in proportion to the symbols left.
+    A round looks at the live places: those whose pair may still be frequent. A pair without a new symbol never gets more frequent, so a place dies
+    when its pair turns out to be rare and lives again when a neighbour is replaced; later rounds are small. Pairs are counted in
+    buckets; each counts one pair exactly, and others of the same bucket stay live for a round with another hash. No place is left live.
     """
-    seq, rules = symbols.astype(np.uint32), np.empty((0, 2), np.uint32)
-    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    for _ in range(rounds):
-        if len(seq) < 2 * min_uses or len(rules) >= most_rules:
-            break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = (pair * np.uint64(0x9E3779B97F4A7C15) >> shift).view(np.int64)
-        bucket[last[:-1]] = BUCKETS  # no pair
-        counted = np.zeros(BUCKETS + 1, np.uint64)
+    n = len(symbols)
+    seq, rules = np.append(symbols, 0).astype(np.uint32), []
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    before[0] = n  # no place
+    last = np.append(last, True)
+    there, live = np.append(np.ones(n, bool), False), ~last
+    name, turn = first, 0
+    while len(at := np.flatnonzero(live)):
+        turn += 1
+        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[after[at]]
+        bits = min(20, max(8, len(at).bit_length()))
+        bucket = (pair * np.uint64((0x9E3779B97F4A7C15 * (2 * turn - 1)) % (1 << 64)) >> np.uint64(64 - bits)).view(np.int64)
+        counted = np.zeros(1 << bits, np.uint64)
         counted[bucket] = pair
         same = counted[bucket] == pair
-        count = np.bincount(bucket[same], minlength=BUCKETS + 1).astype(np.int32)
-        count[BUCKETS] = 0
+        count = np.bincount(bucket[same], minlength=1 << bits).astype(np.int32)
         count[count < min_uses] = 0
-        gain = np.zeros(len(seq) + 1, np.int32)  # of the pair that starts at i, at i + 1
-        np.multiply(count[bucket], same, out=gain[1:-1])
-        chosen = np.flatnonzero((gain[1:-1] > gain[:-2]) & (gain[1:-1] >= gain[2:]))
-        uses = np.bincount(bucket[chosen], minlength=BUCKETS + 1)
-        kept = np.flatnonzero(uses >= min_uses)
-        kept = kept[np.argsort(-uses[kept], kind="stable")[: most_rules - len(rules)]]
+        gain = count[bucket] * same
+        # of pairs that overlap, the more frequent one; of equally frequent ones in a row, every other one
+        beside = after[at[:-1]] == at[1:]
+        new = np.concatenate([[True], ~beside | (gain[1:] != gain[:-1])])
+        begin = np.flatnonzero(new)
+        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) % 2 == 1
+        beaten = np.zeros(len(at), bool)
+        beaten[1:] |= beside & (gain[:-1] > gain[1:])
+        beaten[:-1] |= beside & (gain[1:] > gain[:-1])
+        chosen = np.flatnonzero((gain > 0) & ~odd & ~beaten)
+        kept = np.flatnonzero(np.bincount(bucket[chosen], minlength=1 << bits) >= min_uses)
+        live[at[same & (gain == 0)]] = False
         if not len(kept):
-            break
-        name = np.zeros(BUCKETS + 1, np.uint32)  # 0: none, as rules are never named 0
-        name[kept] = first + len(rules) + np.arange(len(kept))
-        named = name[bucket[chosen]]
-        chosen, named = chosen[named > 0], named[named > 0]
-        rules = np.concatenate([rules, np.stack([counted[kept] >> np.uint64(32), counted[kept] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-        seq[chosen] = named
-        last[chosen] = last[chosen + 1]
-        stays = np.ones(len(seq), bool)
-        stays[chosen + 1] = False
-        seq, last = seq[stays], last[stays]
-        if len(chosen) < SMALL_ROUND * len(seq):
-            break
-    return seq, last, rules
+            live[at[same]] = False
+            continue
+        names = np.zeros(1 << bits, np.uint32)  # 0: none, as rules are never named 0
+        names[kept] = name + np.arange(len(kept))
+        rules.append(counted[kept])
+        name += len(kept)
+        named = names[bucket[chosen]]
+        c, named = at[chosen[named > 0]], named[named > 0]
+        gone = after[c]
+        seq[c], last[c] = named, last[gone]
+        after[c] = after[gone]
+        before[after[c]] = c
+        there[gone] = live[gone] = False
+        live[c] = ~last[c]
+        left = before[c]
+        left = left[there[left]]
+        live[left] = ~last[left]
+    pairs = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    there = there[:n]
+    return seq[:n][there], last[:n][there], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -97,18 +110,17 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return known[first:].astype(np.uint32)
 
 
-def pack_shard(documents: list[np.ndarray], rounds: int = ROUNDS) -> bytes:
+def pack_shard(documents: list[np.ndarray]) -> bytes:
     """documents: each one's ids, none of them empty."""
     counts = np.array([len(d) for d in documents], np.int64)
     ids = np.concatenate(documents)
     alphabet = np.flatnonzero(np.bincount(ids))
     symbol = np.zeros(int(alphabet[-1]) + 1, np.uint32)
     symbol[alphabet] = np.arange(len(alphabet))
-    narrow = len(alphabet) < 1 << 16
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
-    seq, last, rules = grammar(symbol[ids], last, len(alphabet), rounds, most_rules=((1 << 16) if narrow else 1 << 31) - len(alphabet))
-    width = 2 if narrow else 4
+    seq, last, rules = grammar(symbol[ids], last, len(alphabet))
+    width = 2 if len(alphabet) + len(rules) <= 1 << 16 else 4
     starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
     return b"".join([
         _HEAD.pack(b"RPG1", len(alphabet), len(rules), len(seq), len(documents), len(ids), width),
@@ -190,9 +202,9 @@ class Shard:
         return self.expand(self.symbols[low + i : low + j + 1])[start - before : start - before + length]
 
 
-def _write(path: str, kind: str, end_id: int, shard_tokens: int, rounds: int):
+def _write(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = packed_encoder(path, kind)
+        encode = packed_encoder(path)
         end, part, start, shard = end_id.to_bytes(encode.width, "little"), TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         documents: list[np.ndarray] = []
@@ -200,7 +212,7 @@ def _write(path: str, kind: str, end_id: int, shard_tokens: int, rounds: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal start, shard, size, doc_ids, documents
-            payload = pack_shard(documents, rounds)
+            payload = pack_shard(documents)
             row = [part, shard, start, size, payload]
             arrays = [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             out = pa.RecordBatch.from_arrays([*arrays, pa.array([doc_ids], pa.list_(id_type))], ["part", "shard", "start_in_part", "n_tokens", "payload", "doc_ids"])
@@ -224,15 +236,18 @@ def _write(path: str, kind: str, end_id: int, shard_tokens: int, rounds: int):
 
 
 def write_store(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, kind: str = "word",
-    end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS,
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
+    end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,
 ) -> None:
     """Writes the shards of docs, in ascending order of ``id_col``, to a new table at path."""
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("head", F.substring("text", 1, 32))
+    rows = rows.withColumn("turn", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())  # rows of one id, null too, are spread like others
+    order = ["id", "head", "turn", "copy"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     kind_of_id = docs.schema[id_col].dataType.simpleString()
     schema = f"part int, shard int, start_in_part long, n_tokens long, payload binary, doc_ids array<{kind_of_id}>"
-    rows.mapInArrow(_write(tokenizer_path, kind, end_id, shard_tokens, rounds), schema).write.parquet(path)
+    rows.mapInArrow(_write(tokenizer_path, end_id, shard_tokens), schema).write.parquet(path)
 
 
 def _read(digests: bool):

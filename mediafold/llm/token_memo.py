@@ -6,6 +6,7 @@ packed as little-endian unsigned integers of 16 bits (32 for vocabularies that n
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -57,7 +58,7 @@ _PLAIN = re.compile("(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
 class Memo(dict):
     """Keys to packed ids."""
 
-    def __init__(self, tokenizer: Tokenizer, kind: str, width: int, limit: int = MEMO) -> None:
+    def __init__(self, tokenizer: Tokenizer, kind: str | None, width: int, limit: int = MEMO) -> None:
         self.tokenizer, self.model, self.kind, self.width, self.limit = tokenizer, tokenizer.model, kind, width, limit
 
     def _ids(self, key: str) -> list[int]:
@@ -76,22 +77,43 @@ class Memo(dict):
         return packed
 
 
+#: The normaliser and pre-tokenizer of the two kinds of tokenizer whose words stand alone.
+_LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+KINDS = {
+    "byte_level": (None, _BYTES | {"use_regex": True}),
+    "word": (_LOWER, {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]}),
+}
+
+
 class PackedEncoder:
-    """kind: "byte_level" or "word" (lower case, white space dropped), as the tokenizer's file has it; both write bytes as letters."""
+    """The ids that the tokenizer of the file gives for whole texts. A text that holds one of its added tokens is encoded as a whole
+    by the library, and so is every text where the file's normaliser and pre-tokenizer are not those of one of ``KINDS``."""
 
-    def __init__(self, path: str, kind: str) -> None:
+    def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        plain = not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+        self.kind = next((k for k, v in KINDS.items() if plain and v == (spec.get("normalizer"), spec.get("pre_tokenizer"))), None)
+        self.literals = [t["content"] for t in added]
+        self.tokenizer = tokenizer
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.vocabulary = tokenizer.get_vocab_size()
-        self.pieces = {"byte_level": byte_level_pieces, "word": word_pieces}[kind]
-        self.memo = Memo(tokenizer, kind, self.width)
+        self.pieces = {"byte_level": byte_level_pieces, "word": word_pieces, None: None}[self.kind]
+        self.memo = Memo(tokenizer, self.kind, self.width)
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
+        if not text:
+            return b""
+        if self.kind is None or any(x in text for x in self.literals):
+            return b"".join([i.to_bytes(self.width, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
 
 @lru_cache(maxsize=2)
-def packed_encoder(path: str, kind: str) -> PackedEncoder:
+def packed_encoder(path: str) -> PackedEncoder:
     """One encoder and memo for all tasks of a Python worker."""
-    return PackedEncoder(path, kind)
+    return PackedEncoder(path)

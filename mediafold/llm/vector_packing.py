@@ -128,9 +128,9 @@ class Packer:
 _NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _pack(path: str, kind: str, end_id: int, limits: Limits, cut: bool, with_ids: bool):
+def _pack(path: str, end_id: int, limits: Limits, cut: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = packed_encoder(path, kind)
+        encode = packed_encoder(path)
         end, width = end_id.to_bytes(encode.width, "little"), encode.width
         packer, texts, sequence, serial, id_type = Packer(limits, cut), {}, (TaskContext.get().partitionId() << 33) - 1, 0, None
 
@@ -169,14 +169,14 @@ def _pack(path: str, kind: str, end_id: int, limits: Limits, cut: bool, with_ids
 
 
 def pack_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, kind: str = "byte_level",
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
     end_id: int = END_ID, limits: Limits | None = None, cut: bool = True, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with ``with_ids`` its ids."""
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in _NAMES[1:]) + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_pack(path, kind, end_id, limits or Limits(), cut, with_ids), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_pack(path, end_id, limits or Limits(), cut, with_ids), schema).withColumnRenamed("id", id_col)
 
 
 def _pack_examples(limits: Limits, cut: bool):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -16,7 +17,9 @@ from tokenizers import Tokenizer
 from mediafold.llm import bpe_codec, repair_store, token_memo, vector_packing
 from mediafold.llm._common import new_path
 
-ODD = st.text(st.sampled_from(list(" \n\n\t\r\x00\x1c\xa0　ab'stéßÄ.,1İΣ<>") + ["́", "中", "😀"]), max_size=24)
+ODD = st.lists(
+    st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " the", " word.", " Straße", " naïve,", "́", "中", "😀", *" \n\n\t\r\x00\x1c\xa0　ab'stéßÄ.,1İΣ<>|"]), max_size=24
+).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,6 @@ def tokenizers():
     found = {}
     for name, kind in (("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word")):
         t = Tokenizer.from_file(P.path(name))
-        t.encode_special_tokens = True
         found[kind] = t
     return found
 
@@ -37,7 +39,8 @@ def ids_of(tokenizer, text):
 @given(ODD)
 def test_memo_gives_the_whole_texts_ids(text):
     for name, kind in (("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word")):
-        encoder = token_memo.packed_encoder(P.path(name), kind)
+        encoder = token_memo.packed_encoder(P.path(name))
+        assert encoder.kind == kind
         whole = encoder.memo.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder(text), "<u2").tolist() == whole
 
@@ -94,6 +97,22 @@ def test_grammar_shrinks_repeats_and_no_rule_crosses_documents():
     assert (shard.lengths[shard.lengths > 1] <= len(d)).all() and all((shard.document(k) == d).all() for k in range(4))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=300), min_size=1, max_size=4))
+def test_no_frequent_pair_is_left(documents):
+    shard = repair_store.Shard(repair_store.pack_shard([np.array(d * 3, np.uint16) for d in documents]))
+    bounds = [*shard.starts.tolist(), len(shard.symbols)]
+    left, free = Counter(), {}
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        for k in range(i, j - 1):
+            pair = (int(shard.symbols[k]), int(shard.symbols[k + 1]))
+            if free.get(pair, 0) <= k:  # uses that don't overlap
+                left[pair] += 1
+                free[pair] = k + 2
+    # pairs that overlap one another may keep a few uses each; of those that stand apart none is left
+    assert sum(n >= 2 * repair_store.MIN_USES for n in left.values()) == 0
+
+
 def test_wide_alphabet_uses_32_bits():
     d = np.arange(70_000, dtype=np.uint32)
     assert (repair_store.Shard(repair_store.pack_shard([d, d[::-1].copy()])).document(1) == d[::-1]).all()
@@ -103,7 +122,8 @@ def test_store_edges(spark, edge_docs, no_docs, edge_rows, tokenizers):
     path = new_path(spark, "store")
     repair_store.write_store(edge_docs, path, shard_tokens=5000)
     got = [tuple(r) for r in repair_store.read_store(spark, path, digests=True).orderBy("start").collect()]
-    rows = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    turn = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    rows = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "")[:32].encode(), turn(r[1])))
     want, start = [], 0
     for i, t in rows:
         ids = [*ids_of(tokenizers["word"], t), 2]
