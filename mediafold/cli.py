@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.sidecar:
         say(f"{write_sidecars(rows)} sidecars")
     form = args.format or ("text" if sys.stdout.isatty() else "json")
-    blocks = {"json": lambda r: json_records(r, pretty=True), "markdown": markdown_blocks, "text": text_blocks}[form](rows)
+    blocks = {"json": json_records, "markdown": markdown_blocks, "text": text_blocks}[form](rows)
     try:
         print(document(blocks, form, single=len(paths) == 1), flush=True)
     except BrokenPipeError:

@@ -27,10 +27,10 @@ def image_dims(content: Column) -> Column:
     packed = _number(h, 21, 4, False)
     low14 = F.lit(0x3FFF).cast("bigint")
     return (
-        F.when((size >= 24) & h.startswith("89504E470D0A1A0A"), dims(_number(h, 16, 4, True), _number(h, 20, 4, True)))
+        F.when((size >= 24) & h.startswith("89504E47") & (form == "49484452"), dims(_number(h, 16, 4, True), _number(h, 20, 4, True)))
         .when((size >= 30) & webp & (form == "56503858"), dims(_number(h, 24, 3, False) + 1, _number(h, 27, 3, False) + 1))
         .when((size >= 30) & webp & (form == "56503820"), dims(_number(h, 26, 2, False).bitwiseAND(low14), _number(h, 28, 2, False).bitwiseAND(low14)))
-        .when((size >= 25) & webp & (form == "5650384C"), dims(packed.bitwiseAND(low14) + 1, F.shiftright(packed, 14).bitwiseAND(low14) + 1))
+        .when((size >= 30) & webp & (form == "5650384C"), dims(packed.bitwiseAND(low14) + 1, F.shiftright(packed, 14).bitwiseAND(low14) + 1))
     )
 
 

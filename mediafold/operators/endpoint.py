@@ -156,26 +156,51 @@ def clean(value):
     return [x.strip() for x in value if isinstance(x, str) and x.strip()] if isinstance(value, list) else value
 
 
-_REPLY = "llm_tags array<string>, llm_description string, llm_summary string, llm_model string, llm_failure string, llm_attempts int"
+_REPLY = "llm_tags array<string>, llm_description string, llm_summary string, llm_model string, llm_failure string, llm_missing string, llm_media_error string, llm_attempts int"
 
 
-def enrich(rows: DataFrame, endpoints: Mapping[str, Endpoint], ask: str, transport: Transport = http, text_col: str = "prompt", modality_col: str = "modality", id_col: str = "path") -> DataFrame:
-    """``id_col`` and the reply's fields for rows whose modality has an endpoint; for others llm_failure says so if any has one."""
+def _text(value: object) -> str | None:
+    """A reply's field as text; what is no string stays as its JSON."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def enrich(
+    rows: DataFrame, endpoints: Mapping[str, Endpoint], ask: str, transport: Transport = http, text_col: str = "prompt", modality_col: str = "modality", id_col: str = "path",
+    image_col: str | None = None, vision: bool = True,
+) -> DataFrame:
+    """``id_col`` and the reply's fields for rows whose modality has an endpoint; for others llm_missing says so if any has one.
+
+    image_col: the MIME type of the image that the row's path leads to, or null; the task that asks reads it, one at a time, and
+    attaches it unless ``vision`` is false. A tag list that is one string counts as that tag.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, modality, text in pdf.itertuples(index=False):
+            for key, modality, text, mime in pdf.itertuples(index=False):
                 ep = endpoints.get(modality)
                 if ep is None:
-                    out.append((key, None, None, None, None, f"no endpoint for {modality}" if endpoints else None, 0))
+                    out.append((key, None, None, None, None, None, f"no endpoint configured for {modality}" if endpoints else None, None, 0))
                     continue
-                reply, error, n = analyse(ep, request_body(ep, ask, text or ""), transport)
+                images = []
+                if isinstance(mime, str):
+                    try:
+                        with open(key, "rb") as f:
+                            images.append((f.read(), mime))
+                    except OSError as e:
+                        out.append((key, None, None, None, None, None, None, f"read for vision: {e.strerror}", 0))
+                        continue
+                try:
+                    reply, error, n = analyse(ep, request_body(ep, ask, text or "", images, vision=vision), transport)
+                except ValueError as e:  # over the inline cap
+                    reply, error, n = None, str(e), 0
                 r = reply or {}
                 tags = clean(r.get("tags"))
-                words = [clean(r.get(k)) if isinstance(r.get(k), str) else None for k in ("description", "summary")]
-                out.append((key, tags if isinstance(tags, list) else None, *words, ep.model if reply is not None else None, error, n))
+                tags = tags if isinstance(tags, list) else None if tags is None else [_text(tags)]
+                words = [_text(clean(r.get(k))) for k in ("description", "summary")]
+                out.append((key, tags, *words, ep.model if reply is not None else None, error, None, None, n))
             yield pd.DataFrame(out, columns=[id_col, *(x.split()[0] for x in _REPLY.split(", "))])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, modality_col, text_col).mapInPandas(run, f"{id_col} {kind}, {_REPLY}")
+    image = F.col(image_col) if image_col else F.lit(None).cast("string")
+    return rows.select(id_col, modality_col, text_col, image.alias("image")).mapInPandas(run, f"{id_col} {kind}, {_REPLY}")

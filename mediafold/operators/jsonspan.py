@@ -9,28 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_number)
+
+
 def json_span(text: str | None) -> str | None:
-    """From the first brace to the one that closes it, if that parses; braces in strings don't count."""
+    """The object that begins at the first brace, if one does; what follows it does not matter."""
     start = text.find("{") if text else -1
     if start < 0:
         return None
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if quoted:
-            quoted = escaped or c != '"'
-            escaped = c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                try:
-                    json.loads(text[start : i + 1])
-                except ValueError:
-                    return None
-                return text[start : i + 1]
-    return None
+    try:
+        return text[start : _DECODER.raw_decode(text, start)[1]]
+    except (ValueError, RecursionError):
+        return None
 
 
 @F.pandas_udf(T.StringType())

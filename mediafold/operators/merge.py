@@ -19,7 +19,8 @@ def merged(rows: DataFrame) -> DataFrame:
     """Merges llm_tags, llm_description, llm_summary, llm_model and llm_failure into tags, description, summary, model, llm_error and error.
 
     The endpoint's fields overwrite where they are not null. tag_confidence stays, also where the tags are overwritten. If the
-    endpoint failed, a row that has local tags or a description keeps them with the failure as llm_error; one without is an error row.
+    endpoint failed, a row that has local tags or a description keeps them with the failure as llm_error; one without is an error row. llm_missing (no endpoint for the
+    row's modality) is an llm_error and nothing else; llm_media_error (the medium to be attached can't be read) makes an error row in any case. Both may lack.
     """
     failed = F.col("llm_failure").isNotNull()
     useful = F.col("tags").isNotNull() | F.col("description").isNotNull()
@@ -28,10 +29,10 @@ def merged(rows: DataFrame) -> DataFrame:
         "description": F.when(failed, F.col("description")).otherwise(F.coalesce(trimmed(F.col("llm_description")), F.col("description"))),
         "summary": F.when(failed, F.col("summary")).otherwise(F.coalesce(trimmed(F.col("llm_summary")), F.col("summary"))),
         "model": F.when(failed, F.col("model")).otherwise(F.coalesce(F.col("llm_model"), F.col("model"))),
-        "llm_error": F.when(failed & useful, F.col("llm_failure")).otherwise(F.col("llm_error")),
-        "error": F.when(failed & ~useful, F.col("llm_failure")).otherwise(F.col("error")),
+        "llm_error": F.when(failed & useful, F.col("llm_failure")).otherwise(F.coalesce("llm_missing", "llm_error") if "llm_missing" in rows.columns else F.col("llm_error")),
+        "error": F.coalesce(*(F.col(c) for c in ("llm_media_error",) if c in rows.columns), F.when(failed & ~useful, F.col("llm_failure")).otherwise(F.col("error"))),
     }
-    return collapsed(rows.withColumns(out)).drop("llm_tags", "llm_description", "llm_summary", "llm_model", "llm_failure")
+    return collapsed(rows.withColumns(out)).drop("llm_tags", "llm_description", "llm_summary", "llm_model", "llm_failure", "llm_missing", "llm_media_error")
 
 
 def collapsed(rows: DataFrame) -> DataFrame:

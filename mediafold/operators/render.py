@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediafold.operators.merge import as_records
 
-_SHOWN = ("error", "type", "bytes", "mtime", "sha256", "tags", "description", "summary", "model", "duration_ms", "metadata", "path")
+_SHOWN = ("error", "type", "bytes", "mtime", "sha256", "tags", "description", "summary", "model", "duration_ms")
+_MAY_BE_EMPTY = ("error", "type", "sha256")
+
+
+def pretty(value: object) -> str:
+    return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def _metadata_lines(texts: pd.Series) -> pd.Series:
+    """Lines of pretty JSON, four blanks before each; text that is no JSON is shown as a string."""
 
+    def shown(text: str | None) -> str | None:
+        if not isinstance(text, str):
+            return None
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = text
+        return None if value is None else "".join(f"    {line}\n" for line in pretty(value).split("\n"))
 
-def field_lines(prefix: str = "") -> Column:
-    """The shown fields of a record, one a line, those that are null or empty left out."""
+    return texts.map(shown)
+
+
+def field_lines() -> Column:
+    """The shown fields of a record, two blanks before each, one a line; those that are null or empty are left out."""
 
     def shown(name: str) -> Column:
         value = F.col(name).cast("string")
@@ -19,31 +44,49 @@ def field_lines(prefix: str = "") -> Column:
             value = F.when(F.size("tags") > 0, F.array_join("tags", ", "))
         elif name == "duration_ms":
             value = F.concat(value, F.lit("ms"))
-        return F.when(value.isNotNull(), F.concat(F.lit(f"{prefix}{name}: "), value))
+        elif name not in _MAY_BE_EMPTY:
+            value = F.nullif(value, F.lit(""))
+        return F.coalesce(F.concat(F.lit(f"  {name}: "), value, F.lit("\n")), F.lit(""))
 
-    return F.concat_ws("\n", *(shown(n) for n in _SHOWN))
+    metadata = F.coalesce(F.concat(F.lit("  metadata:\n"), _metadata_lines("metadata")), F.lit(""))
+    return F.concat(*(shown(n) for n in _SHOWN), metadata, F.lit("  path: "), F.col("path"), F.lit("\n"))
 
 
 def text_blocks(rows: DataFrame) -> DataFrame:
     """path and block: a heading with the path, then its fields."""
     rows = as_records(rows)
-    return rows.select("path", F.rtrim(F.concat(F.lit("== "), "path", F.lit(" ==\n"), field_lines())).alias("block"))
+    return rows.select("path", F.regexp_replace(F.concat(F.lit("== "), "path", F.lit(" ==\n"), field_lines()), r"\s+$", "").alias("block"))
 
 
 def markdown_blocks(rows: DataFrame) -> DataFrame:
     rows = as_records(rows)
-    return rows.select("path", F.concat(F.lit("## "), "path", F.lit("\n\n"), field_lines("- "), F.lit("\n")).alias("block"))
+    return rows.select("path", F.concat(F.lit("## "), "path", F.lit("\n"), field_lines(), F.lit("\n")).alias("block"))
 
 
-def json_records(rows: DataFrame, pretty: bool = False) -> DataFrame:
-    """path and json: an object without its null fields."""
+def json_records(rows: DataFrame) -> DataFrame:
+    """path and json: an object without its null fields; metadata is an object in it, other text there a string."""
     rows = as_records(rows)
-    return rows.select("path", F.to_json(F.struct(*rows.columns), {"pretty": str(pretty).lower()}).alias("json"))
+    return rows.select("path", _with_metadata(F.to_json(F.struct(*rows.columns))).alias("json"))
+
+
+@F.pandas_udf(T.StringType())
+def _with_metadata(records: pd.Series) -> pd.Series:
+    def unfolded(text: str) -> str:
+        record = json.loads(text)
+        if isinstance(record.get("metadata"), str):
+            try:
+                record["metadata"] = json.loads(record["metadata"])
+            except ValueError:
+                pass
+        return json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+    return records.map(unfolded)
 
 
 def document(blocks: DataFrame, kind: str, single: bool = False) -> str:
     """All blocks in path order as one text for a terminal: the rows come to the driver one partition at a time."""
     rows = [r[1] for r in blocks.orderBy(F.split("path", "/")).toLocalIterator()]
     if kind == "json":
-        return (rows[0] if rows else "[]") if single else "[" + ",\n".join(rows) + "]"
-    return "\n\n".join(rows) if kind == "text" else "\n".join(rows)
+        values = [json.loads(r) for r in rows]
+        return pretty(values[0] if single and values else values)
+    return "\n\n".join(rows) if kind == "text" else "".join(rows)

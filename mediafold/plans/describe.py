@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediafold.functions.headers import image_dims
 from mediafold.functions.sniff import modality_of
@@ -17,6 +20,7 @@ from mediafold.operators.embed import Provider, embedded
 from mediafold.operators.endpoint import Endpoint, Transport, enrich, http
 from mediafold.operators.imageprep import image_tensors
 from mediafold.operators.merge import as_records, merged
+from mediafold.operators.render import pretty
 from mediafold.operators.zeroshot import AUDIO, IMAGE, Gate, zero_shot_arrow
 from mediafold.sources.listing import contents, local_files, with_kind
 
@@ -39,6 +43,23 @@ class Settings:
     endpoints: Mapping[str, Endpoint] = field(default_factory=dict)
     ask: str = ASK
     transport: Transport = http
+    vision: bool = True
+
+
+@F.pandas_udf(T.StringType())
+def _prompt_metadata(texts: pd.Series) -> pd.Series:
+    """Pretty JSON without the container's own tags, which would crowd out the medium."""
+
+    def lean(text: str | None) -> str:
+        value = json.loads(text) if isinstance(text, str) else {}
+        return pretty({k: v for k, v in value.items() if k != "format_tags"})
+
+    return texts.map(lean)
+
+
+def prompt_text(kind: Column, metadata: Column) -> Column:
+    """What the endpoint is told of a file. No frames are cut from videos here, so none are announced."""
+    return F.concat(F.initcap(kind), F.lit(" file.\nMetadata:\n"), _prompt_metadata(metadata))
 
 
 def preset(kind: str) -> Gate:
@@ -78,7 +99,7 @@ def describe(spark: SparkSession, paths: list[str], settings: Settings = Setting
             "model": F.when(own & F.col(error_col).isNull() & ~covered, F.col("tagger")).otherwise(F.col("model")),
         }).drop("found", "score", "tagger")
     if settings.endpoints:
-        prompt = F.concat_ws(" ", F.concat(F.initcap("type"), F.lit(" file.")), F.col("metadata"))
-        asked = enrich(rows.filter("error IS NULL").withColumn("prompt", prompt), settings.endpoints, settings.ask, settings.transport)
+        told = rows.filter("error IS NULL").withColumns({"prompt": prompt_text(F.col("type"), F.col("metadata")), "image": F.when(F.col("type") == "image", F.col("mime"))})
+        asked = enrich(told, settings.endpoints, settings.ask, settings.transport, image_col="image", vision=settings.vision)
         rows = merged(rows.join(asked.drop("llm_attempts"), "path", "left"))
     return as_records(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediafold.functions.text import confidence, describe_tags, humanize
+from mediafold.operators.endpoint import MODALITIES, Endpoint, enrich
 from mediafold.operators.merge import merged
 from mediafold.operators.vocabulary import centred, first_vectors, norm, unit
 from mediafold.operators.zeroshot import AUDIO, HYBRID, IMAGE, LOOSE, Gate, accepted, scored, valid_norm, zero_shot
@@ -92,13 +93,24 @@ def merge_local_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("vec_id") % 7 == 0
     rows = local.join(turns, "vec_id").select(
         "*", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("llm_error"), F.lit(None).cast("string").alias("error"),
-        F.when(~failed & (F.col("vec_id") % 2 == 0), F.array(F.lit(" "), F.concat(F.lit(" "), F.substring("reply", 1, 5), F.lit(" ")))).alias("llm_tags"),
+        F.when(~failed & (F.col("vec_id") % 2 == 0), F.array(F.lit(" "), F.concat(F.lit(" "), F.substring_index(F.trim("reply"), " ", 1), F.lit(" ")))).alias("llm_tags"),
         F.when(~failed & (F.col("vec_id") % 5 != 0), F.col("reply")).alias("llm_description"), F.lit(None).cast("string").alias("llm_summary"),
         F.when(~failed, F.lit("remote")).alias("llm_model"), F.when(failed, F.lit("HTTP 500")).alias("llm_failure"),
     )
     return merged(rows).select("vec_id", F.array_join("tags", "|").alias("tags"), "description", "model", "tag_confidence", "llm_error", "error")
 
 
+def no_endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Described vectors of three modalities, two of which have an endpoint that fails: without one a row keeps its facts and says so."""
+    local = _described(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("names")).alias("tags"))
+    modality = F.element_at(F.array(*(F.lit(m) for m in MODALITIES)), (F.col("vec_id") % 3 + 1).cast("int"))
+    rows = local.withColumns({"modality": modality, "prompt": F.lit("p"), **{c: F.lit(None).cast("string") for c in ("description", "summary", "model", "llm_error", "error")}})
+    endpoints = {m: Endpoint("u", "m") for m in MODALITIES[:2]}
+    asked = enrich(rows, endpoints, "ask", lambda *_: (400, '{"error": {"message": "refused"}}'), id_col="vec_id")
+    out = merged(rows.join(asked.drop("llm_attempts"), "vec_id"))
+    return out.select("vec_id", F.array_join("tags", "|").alias("tags"), "llm_error", "error")
+
+
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = zero_shot(_embeddings(spark, sf_dir).select("vec_id", "label", "embedding"), _vocabulary(spark, sf_dir), IMAGE)
     hit = F.exists("tags", lambda t: t["lid"] == F.col("label"))
@@ -109,7 +121,7 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "zero_shot_tags": _tags(IMAGE), "zero_shot_audio_preset": _tags(AUDIO), "zero_shot_hybrid_preset": _tags(HYBRID), "zero_shot_loose_preset": _tags(LOOSE),
-    **{f.__name__: f for f in (cosine_scores, label_topk, gate_decision, l2_norm_guard, vocab_center_normalize, vocab_unit_vectors, tag_description, gated_fallback_description, merge_local_llm, coverage_report)},
+    **{f.__name__: f for f in (cosine_scores, label_topk, gate_decision, l2_norm_guard, vocab_center_normalize, vocab_unit_vectors, tag_description, gated_fallback_description, merge_local_llm, no_endpoint_rows, coverage_report)},
 }
 
 _VOCAB = """
@@ -161,12 +173,16 @@ WHERE rk = 1 AND NOT (best >= {IMAGE.hi} OR (best >= {IMAGE.lo} AND best - nxt >
 l AS (SELECT e.vec_id, CASE WHEN e.vec_id % 3 <> 0 THEN names END AS tags, round(best, 3) AS tag_confidence FROM e LEFT JOIN n USING (vec_id)),
 t AS (SELECT conv_id AS vec_id, arg_min(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 m AS (SELECT vec_id, tags AS names, tag_confidence, reply, vec_id % 7 = 0 AS failed FROM l JOIN t USING (vec_id)),
-o AS (SELECT *, failed AND names IS NULL AS gone, trim(substr(reply, 1, 5), E' \\t\\n\\r') AS word FROM m)
+o AS (SELECT *, failed AND names IS NULL AS gone, trim(split_part(trim(reply), ' ', 1), E' \\t\\n\\r') AS word FROM m)
 SELECT vec_id, CASE WHEN gone THEN NULL WHEN NOT failed AND vec_id % 2 = 0 THEN word ELSE array_to_string(names, '|') END AS tags,
        CASE WHEN gone THEN NULL WHEN NOT failed AND vec_id % 5 <> 0 THEN trim(reply, E' \\t\\n\\r') WHEN names IS NOT NULL THEN {_SENTENCE} END AS description,
        CASE WHEN gone THEN NULL WHEN NOT failed THEN 'remote' WHEN names IS NOT NULL THEN 'local' END AS model,
        CASE WHEN NOT gone THEN tag_confidence END AS tag_confidence, CASE WHEN failed AND NOT gone THEN 'HTTP 500' END AS llm_error, CASE WHEN gone THEN 'HTTP 500' END AS error
 FROM o""",
+    "no_endpoint_rows": f"""{_VOCAB}, {_NAMED},
+l AS (SELECT e.vec_id, e.vec_id % 3 = 2 AS missing, CASE WHEN e.vec_id % 2 = 0 THEN names END AS names FROM e LEFT JOIN n USING (vec_id))
+SELECT vec_id, array_to_string(names, '|') AS tags, CASE WHEN missing THEN 'no endpoint configured for video' WHEN names IS NOT NULL THEN 'HTTP 400: refused' END AS llm_error,
+       CASE WHEN NOT missing AND names IS NULL THEN 'HTTP 400: refused' END AS error FROM l""",
     "coverage_report": f"""{_VOCAB}, t AS ({_tagged_sql(IMAGE)})
 SELECT label, count(DISTINCT e.vec_id) AS vectors, count(DISTINCT t.vec_id) AS tagged, count(CASE WHEN t.lid = label THEN 1 END) AS hits, count(t.vec_id) AS n_tags
 FROM e LEFT JOIN (SELECT vec_id, lid FROM t) AS t ON t.vec_id = e.vec_id GROUP BY label""",

@@ -57,13 +57,13 @@ def truncate_error(spark, sf_dir):
 
 
 def clean_fields(spark, sf_dir):
-    words = F.split(F.substring("text", 1, 60), " ")
+    words = F.split("text", " ")
     padded = F.transform(words, lambda w: F.concat(F.lit(" \t"), F.translate(w, ".,", "  "), F.lit("\n")))
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(clean_tags(padded), "|").alias("tags"))
 
 
 def data_urls(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", data_url(F.lit("text/plain"), F.left("text", F.lit(100)).cast("binary")).alias("url"))
+    return _table(spark, sf_dir, "documents").select("doc_id", data_url(F.lit("text/plain"), F.col("text").cast("binary")).alias("url"))
 
 
 def sidecar_names(spark, sf_dir):
@@ -72,7 +72,7 @@ def sidecar_names(spark, sf_dir):
 
 def stderr_tail(spark, sf_dir):
     text = F.translate("text", " ", "\n")
-    return _table(spark, sf_dir, "documents").select("doc_id", last_lines(F.left(text, F.lit(400)), 5).alias("tail"))
+    return _table(spark, sf_dir, "documents").select("doc_id", last_lines(text, 5).alias("tail"))
 
 
 def component_sort(spark, sf_dir):
@@ -86,7 +86,8 @@ def _records(spark, sf_dir) -> DataFrame:
     error = F.when(F.col("p_partkey") % 50 == 0, F.lit("unreadable"))
     rows = parts.select(
         F.concat(F.lit("parts/"), "p_name").alias("path"), F.lit("image").alias("type"), F.col("p_size").cast("long").alias("bytes"),
-        F.when(F.col("p_partkey") % 4 != 0, F.array("p_brand", "p_type")).alias("tags"), humanize(F.col("p_name")).alias("description"), error.alias("error"), "p_partkey",
+        F.when(F.col("p_partkey") % 4 != 0, F.array("p_brand", "p_type")).alias("tags"), humanize(F.col("p_name")).alias("description"), error.alias("error"),
+        F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.struct(F.col("p_size").alias("width"), F.struct(F.col("p_brand").alias("make")).alias("exif")))).alias("metadata"), "p_partkey",
     )
     return rows
 
@@ -179,12 +180,12 @@ QUERIES = {
 } | {"render_text": _rendered(text_blocks), "render_markdown": _rendered(markdown_blocks), "render_json": _rendered(json_records)}
 
 _RECORD = f"""(SELECT 'parts/' || p_name || '#' || p_partkey AS path, p_partkey % 50 = 0 AS bad, p_size AS bytes, CASE WHEN p_partkey % 4 <> 0 THEN p_brand || ', ' || p_type END AS tags,
-p_brand, p_type, {human_sql("p_name")} AS description FROM part)"""
+p_brand, p_type, {human_sql("p_name")} AS description, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS width FROM part)"""
 
 
-def _lines(prefix: str) -> str:
-    n = f"E'\\n{prefix}"
-    return f"CASE WHEN bad THEN '{prefix}error: unreadable' ELSE '{prefix}type: image' || {n}bytes: ' || bytes || coalesce({n}tags: ' || tags, '') || {n}description: ' || description END || {n}path: ' || path"
+_META = "E'  metadata:\\n    {\\n      \"exif\": {\\n        \"make\": \"' || p_brand || E'\"\\n      },\\n      \"width\": ' || width || E'\\n    }\\n'"
+_LINES = f"""CASE WHEN bad THEN E'  error: unreadable\\n' ELSE E'  type: image\\n  bytes: ' || bytes || coalesce(E'\\n  tags: ' || tags, '') || E'\\n  description: ' || description || E'\\n' || coalesce({_META}, '') END
+|| '  path: ' || path || E'\\n'"""
 
 
 SQL = {
@@ -196,12 +197,13 @@ SQL = {
     "props_extract": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.missing') AS DOUBLE) AS missing FROM events",
     "long_string_filter": "SELECT doc_id, CASE WHEN strlen(text) <= 512 THEN 'lang,text' ELSE 'lang' END AS kept FROM documents",
     "truncate_error": "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS message FROM documents",
-    "clean_fields": r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 60), ' '), lambda w: trim(translate(w, '.,', '  '), E' \t\n\r')), lambda w: w <> ''), '|') AS tags FROM documents""",
-    "data_urls": "SELECT doc_id, 'data:text/plain;base64,' || base64(encode(left(text, 100))) AS url FROM documents",
+    "clean_fields": r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w: trim(translate(w, '.,', '  '), E' \t\n\r')), lambda w: w <> ''), '|') AS tags FROM documents""",
+    "data_urls": "SELECT doc_id, 'data:text/plain;base64,' || base64(encode(text)) AS url FROM documents",
     "sidecar_names": "SELECT p_partkey, p_name || '.mediafold.json' AS path FROM part",
-    "stderr_tail": r"""SELECT doc_id, array_to_string(l[greatest(1, len(l) - 4):], E'\n') AS tail FROM (SELECT doc_id, string_split(regexp_replace(left(translate(text, ' ', E'\n'), 400), '\n$', ''), E'\n') AS l FROM documents)""",
+    "stderr_tail": r"""SELECT doc_id, array_to_string(l[greatest(1, len(l) - 4):], E'\n') AS tail FROM (SELECT doc_id, string_split(regexp_replace(translate(text, ' ', E'\n'), '\n$', ''), E'\n') AS l FROM documents)""",
     "component_sort": "SELECT page_id, replace(url, '/', '|') AS components FROM pages",
     "strict_exit": "SELECT path, 'unreadable' AS error FROM (SELECT 'parts/' || p_name || '/' || lpad(p_partkey::VARCHAR, 9, '0') AS path FROM part WHERE p_partkey % 50 = 0) ORDER BY string_split(path, '/') LIMIT 1",
+    "extract_json_span": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN to_json({'role': role, 'text': text})::VARCHAR END AS span FROM conversations",
     "endpoint_precedence": f"""SELECT id, url, rtrim(url, '/') || '/chat/completions' AS chat FROM (SELECT id, coalesce(nullif(flag, ''), nullif(env, ''), nullif(common_flag, ''), nullif(common_env, '')) AS url FROM {_ENDPOINTS})""",
     "missing_binaries": f"SELECT id, regexp_matches(message, 'No such file|not found|is it installed') AS missing FROM {_MESSAGES}",
     "retry_policy": "SELECT * FROM (VALUES (1, 200, true, false), (2, 503, false, true), (3, 400, false, false), (4, 429, false, true), (5, 302, false, true), (6, 200, false, true)) AS t(id, status, accepted, again)",
@@ -210,8 +212,8 @@ SQL = {
     "probe_shape": """SELECT * FROM (VALUES (1, 2.5::DOUBLE, 900::BIGINT, 'wav', NULL, -1::BIGINT, -1::BIGINT, NULL, 'pcm', 48000::BIGINT), (2, NULL, -1, NULL, 'h264', 128, 96, '10/1', 'aac', 0),
 (3, NULL, -1, NULL, NULL, -1, -1, NULL, NULL, -1), (4, NULL, -1, NULL, NULL, -1, -1, NULL, NULL, -1)) AS t(id, duration_s, bitrate, container, codec, width, height, fps, audio_codec, sample_rate)""",
     "exif_shape": "SELECT * FROM (VALUES (1, 64::BIGINT, 48::BIGINT, 'Make'), (2, -1, -1, 'Model'), (3, -1, -1, NULL)) AS t(id, width, height, fields)",
-    "render_text": f"SELECT path, '== ' || path || E' ==\\n' || {_lines('')} AS block FROM {_RECORD}",
-    "render_markdown": f"SELECT path, '## ' || path || E'\\n\\n' || {_lines('- ')} || E'\\n' AS block FROM {_RECORD}",
-    "render_json": f"""SELECT path, CASE WHEN bad THEN '{{"error":"unreadable","path":"' || path || '"}}' ELSE '{{"bytes":' || bytes || ',"description":"' || description || '","path":"' || path || '"'
+    "render_text": f"SELECT path, rtrim('== ' || path || E' ==\\n' || {_LINES}, E'\\n') AS block FROM {_RECORD}",
+    "render_markdown": f"SELECT path, '## ' || path || E'\\n' || {_LINES} || E'\\n' AS block FROM {_RECORD}",
+    "render_json": f"""SELECT path, CASE WHEN bad THEN '{{"error":"unreadable","path":"' || path || '"}}' ELSE '{{"bytes":' || bytes || ',"description":"' || description || '"' || coalesce(',"metadata":{{"exif":{{"make":"' || p_brand || '"}},"width":' || width || '}}', '') || ',"path":"' || path || '"'
 || coalesce(CASE WHEN tags IS NOT NULL THEN ',"tags":["' || p_brand || '","' || p_type || '"]' END, '') || ',"type":"image"}}' END AS json FROM {_RECORD}""",
 }

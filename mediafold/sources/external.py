@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import subprocess
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,37 +50,3 @@ def frame_times(duration: Column, n: int) -> Column:
     """The middles of n equal parts of a video, in seconds to the millisecond; 0 if the duration is unknown."""
     times = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda i: F.round(duration * (i + 0.5) / max(n, 1), 3))
     return F.when(duration > 0, times).otherwise(F.array(F.lit(0.0)))
-
-
-def grab_frames(path: str, times: list[float], timeout: float = 60.0) -> list[bytes]:
-    """JPEG frames; those that fail are left out. ProgramError if the program is missing or none is left."""
-    frames, last = [], ""
-    for t in times:
-        with tempfile.NamedTemporaryFile(suffix=".jpg") as f:
-            try:
-                run_program(["ffmpeg", "-v", "error", "-y", "-ss", f"{t:.3f}", "-i", path, "-frames:v", "1", f.name], timeout)
-            except ProgramError as e:
-                if "is it installed" in str(e):
-                    raise
-                last = str(e)
-                continue
-            if data := f.read():
-                frames.append(data)
-    if not frames:
-        raise ProgramError(last or f"no frame of {path}")
-    return frames
-
-
-def audio_for_endpoint(path: str, is_mp3: bool, timeout: float = 300.0) -> bytes:
-    """An MP3 as it is; anything else as mono MP3 of 16 kHz and 64 kb/s."""
-    if is_mp3:
-        with open(path, "rb") as f:
-            return f.read()
-    with tempfile.TemporaryDirectory() as folder:
-        out = os.path.join(folder, "sound.mp3")
-        run_program(["ffmpeg", "-v", "error", "-y", "-i", path, "-ac", "1", "-ar", "16000", "-b:a", "64k", out], timeout)
-        with open(out, "rb") as f:
-            data = f.read()
-    if not data:
-        raise ProgramError(f"no sound in {path}")
-    return data

@@ -56,19 +56,16 @@ def _facts(with_hash: bool):
                 header = size = mtime = digest = error = None
                 try:
                     with open(path, "rb") as f:
-                        header = f.read(32)
+                        header = f.read(32)  # unreadable: of no known kind, so left out
+                        s = os.stat(path)
+                        size, mtime = s.st_size, max(0, int(s.st_mtime))
                         if with_hash and header:
                             h = hashlib.sha256(header)
                             while block := f.read(BLOCK):
                                 h.update(block)
                             digest = h.hexdigest()
-                except OSError:
-                    header = None  # unreadable: of no known kind, so left out
-                if header is not None:
-                    try:
-                        s = os.stat(path)
-                        size, mtime = s.st_size, max(0, int(s.st_mtime))
-                    except OSError as e:
+                except OSError as e:
+                    if header is not None:
                         error = f"{path}: {e.strerror}"
                 rows.append((path, header, size, mtime, digest, error))
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())

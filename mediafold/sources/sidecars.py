@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 
 from mediafold.operators.merge import as_records
-from mediafold.operators.render import json_records
+from mediafold.operators.render import json_records, pretty
 
 SUFFIX = ".mediafold.json"
 
@@ -26,13 +27,13 @@ def write_sidecars(rows: DataFrame, suffix: str = SUFFIX) -> int:
         for path, text in part:
             try:
                 with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(path) or ".", delete=False, encoding="utf-8") as f:
-                    f.write(text + "\n")
+                    f.write(pretty(json.loads(text)) + "\n")
                 os.replace(f.name, path + suffix)
                 written.add(1)
             except OSError:
                 continue
 
-    json_records(rows, pretty=True).foreachPartition(write)
+    json_records(rows).foreachPartition(write)
     return written.value
 
 

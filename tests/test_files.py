@@ -74,7 +74,37 @@ def test_records_with_an_endpoint(spark, tree):
     settings = Settings(tagger("image"), None, {"vision": Endpoint("u", "m")}, transport=reply)
     rows = {os.path.relpath(r.path, tree): r for r in describe(spark, listing.walk([str(tree)]), settings).collect()}
     assert (rows["broken.png"].tags, rows["broken.png"].model) == (["far"], "m")
-    assert rows["b.wav"].error == "no endpoint for audio" and rows["b.wav"].type is None
+    sound = rows["b.wav"]
+    assert sound.error is None and sound.llm_error == "no endpoint configured for audio" and sound.type == "audio" and sound.sha256
+
+
+def test_endpoint_gets_the_image_and_its_metadata(spark, tree, tmp_path_factory):
+    log = str(tmp_path_factory.mktemp("asked"))
+
+    def recording(url, body, key, timeout):
+        with open(os.path.join(log, str(abs(hash(str(body["messages"][1]))))), "w") as f:
+            json.dump(body["messages"][1]["content"], f)
+        return answer('{"tags": ["far"]}')
+
+    for vision in (True, False):
+        describe(spark, [str(tree / "nested" / "Big_Door-1.png")], Settings(endpoints={"vision": Endpoint("u", "m")}, transport=recording, vision=vision)).collect()
+    asked = sorted((json.load(open(os.path.join(log, x))) for x in os.listdir(log)), key=lambda c: isinstance(c, str))
+    text = 'Image file.\nMetadata:\n{\n  "height": 40,\n  "width": 64\n}'
+    assert asked[0][0] == {"type": "text", "text": text} and asked[0][1]["image_url"]["url"].startswith("data:image/png;base64,") and asked[1] == text
+    os.remove(tree / "broken.png")
+    files = listing.local_files(spark, [str(tree / "nested" / "Big_Door-1.png")])
+    assert files.first().error is None
+
+
+def test_an_image_that_cannot_be_attached_makes_an_error_row(spark):
+    from mediafold.operators.endpoint import enrich
+    from mediafold.operators.merge import merged
+
+    rows = spark.createDataFrame([("/no/such.png", "vision", "p", "image/png", ["local"], "Local.")], "path string, modality string, prompt string, mime string, tags array<string>, description string")
+    rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS summary", "'local' AS model", "CAST(NULL AS STRING) AS llm_error", "CAST(NULL AS STRING) AS error")
+    asked = enrich(rows, {"vision": Endpoint("u", "m")}, "ask", lambda *_: answer("{}"), image_col="mime")
+    got = merged(rows.join(asked, "path")).first()
+    assert got.error == "read for vision: No such file or directory" and got.tags is None and got.description is None
 
 
 def test_sidecars(spark, tree):

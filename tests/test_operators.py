@@ -80,16 +80,21 @@ def test_merge_rules(spark):
 
 def test_rendering(spark):
     rows = spark.createDataFrame([("b/x", "image", 5, ["t", "u"], 12), ("a", "audio", 6, None, None)], "path string, type string, bytes long, tags array<string>, duration_ms long")
-    assert render.document(render.text_blocks(rows), "text") == "== a ==\ntype: audio\nbytes: 6\npath: a\n\n== b/x ==\ntype: image\nbytes: 5\ntags: t, u\nduration_ms: 12ms\npath: b/x"
+    assert render.document(render.text_blocks(rows), "text") == "== a ==\n  type: audio\n  bytes: 6\n  path: a\n\n== b/x ==\n  type: image\n  bytes: 5\n  tags: t, u\n  duration_ms: 12ms\n  path: b/x"
     assert [r["path"] for r in json.loads(render.document(render.json_records(rows), "json"))] == ["a", "b/x"]
     assert render.document(render.json_records(rows.limit(0)), "json", single=True) == "[]"
-    assert render.document(render.markdown_blocks(rows.filter("path = 'a'")), "md").startswith("## a\n\n- type: audio")
+    assert render.document(render.markdown_blocks(rows.filter("path = 'a'")), "md")== "## a\n  type: audio\n  bytes: 6\n  path: a\n\n"
+    told = spark.createDataFrame([("m", '{"b": [1], "a": "é"}'), ("n", "no json"), ("o", None)], "path string, metadata string")
+    got = {r.path: r.block for r in render.text_blocks(told).collect()}
+    assert got["m"] == '== m ==\n  metadata:\n    {\n      "a": "é",\n      "b": [\n        1\n      ]\n    }\n  path: m'
+    assert got["n"] == '== n ==\n  metadata:\n    "no json"\n  path: n' and got["o"] == "== o ==\n  path: o"
+    assert json.loads(render.document(render.json_records(told.filter("path = 'm'")), "json", single=True)) == {"metadata": {"a": "é", "b": [1]}, "path": "m"}
 
 
 @pytest.mark.parametrize(
     ("text", "span"),
     [
-        ('{"a": 1}', '{"a": 1}'), ('Sure: {"a": {"b": 2}} done {', '{"a": {"b": 2}}'), ('{"a": "}{\\""}', '{"a": "}{\\""}'), ("none", None), ("", None), (None, None), ('{"a": 1', None), ("{bad} {\"a\": 1}", None),
+        ('{"a": 1}', '{"a": 1}'), ('Sure: {"a": {"b": 2}} done {', '{"a": {"b": 2}}'), ('{"a": "}{\\""}', '{"a": "}{\\""}'), ("none", None), ("", None), (None, None), ('{"a": 1', None), ("{bad} {\"a\": 1}", None), ('{"a": NaN}', None),
     ],
 )
 def test_json_span(text, span):
@@ -147,8 +152,10 @@ def test_endpoint_precedence():
 def test_enrich(spark):
     rows = spark.createDataFrame([("a", "vision", "p"), ("b", "audio", "q")], "path string, modality string, prompt string")
     got = {r.path: r for r in endpoint.enrich(rows, {"vision": EP}, "ask", lambda *_: answer('{"tags": ["x ", "", 3], "description": " d ", "summary": 5}')).collect()}
-    assert (got["a"].llm_tags, got["a"].llm_description, got["a"].llm_summary, got["a"].llm_model) == (["x"], "d", None, "m")
-    assert got["b"].llm_failure == "no endpoint for audio"
+    assert (got["a"].llm_tags, got["a"].llm_description, got["a"].llm_summary, got["a"].llm_model) == (["x"], "d", "5", "m")
+    assert got["b"].llm_missing == "no endpoint configured for audio" and got["b"].llm_failure is None
+    got = endpoint.enrich(rows.limit(1), {"vision": EP}, "ask", lambda *_: answer('{"tags": " one ", "description": ["x"]}')).first()
+    assert (got.llm_tags, got.llm_description) == (["one"], '["x"]')
 
 
 def wav(x, rate=48_000, width=2):
