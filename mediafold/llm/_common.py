@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
     where = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="mediafold-")
         spark.conf.set(CHECKPOINT_DIR, where)
     return where.rstrip("/")

@@ -142,5 +142,5 @@ def op6_tiered_compaction(spark: SparkSession, sf_dir: str, arrivals: int = 4) -
             store.vacuum()
     shards = store.manifest().select(F.col("path").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
     rows = store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_path").alias("shard"))
-    # the manifest has a row for each file, of which Spark's reader holds a list anyway
-    return rows.join(F.broadcast(shards), "shard").select("doc_id", "text_sha256", "shard_rows", "shard_bytes", F.lit(store.versions()[-1]).alias("version"))
+    # broadcast by Spark where the manifest is small, else joined by a shuffle
+    return rows.join(shards, "shard").select("doc_id", "text_sha256", "shard_rows", "shard_bytes", F.lit(store.versions()[-1]).alias("version"))

@@ -229,6 +229,49 @@ def test_peaks_of_tones_and_shift(spark):
     assert len(wav_fingerprint.landmarks(np.zeros(5000, np.float32))[0]) == 0
 
 
+def plain_landmarks(x):
+    """From the definition, a frame at a time."""
+    w = wav_fingerprint
+    n = max(1, -(-len(x) // w.HOP))
+    x = np.concatenate([x, np.zeros((n + 1) * w.HOP - len(x))])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(w.FRAME) / w.FRAME)
+    power = [np.abs(np.fft.rfft(x[t * w.HOP : t * w.HOP + w.FRAME] * window)) ** 2 for t in range(n)]
+    best = [[max(range(low, high), key=lambda k: (p[k], -k)) for low, high in zip(w.BANDS, w.BANDS[1:], strict=False)] for p in power]  # noqa: B023
+    peaks = []
+    for t in range(n):
+        for b, k in enumerate(best[t]):
+            loud = power[t][k]
+            beside = [power[t][j] for j in (k - 1, k + 1) if j < len(power[t])]
+            before = power[t - 1][best[t - 1][b]] if t else -1
+            after = power[t + 1][best[t + 1][b]] if t + 1 < n else -1
+            if loud > 1e-3 and loud >= max(beside) and loud >= before and loud > after:
+                peaks.append((t, k))
+    out = []
+    for i, (t, f) in enumerate(peaks):
+        for u, g in peaks[i + 1 : i + 1 + w.FAN_OUT]:
+            if u - t <= w.REACH:
+                out.append((t, f << 16 | g << 6 | (u - t)))
+    return sorted(out)
+
+
+def test_landmarks_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    for n in (1, 95, 192, 500, 5000, 300_000):
+        x = rng.normal(size=n).astype(np.float32) * 50 + 30 * np.sin(np.arange(n) / 3).astype(np.float32)
+        if n > 100_000:  # long sounds are transformed in several blocks
+            x = x[: (wav_fingerprint.FRAMES_AT_ONCE + 50) * wav_fingerprint.HOP]
+        assert list(zip(*(a.tolist() for a in wav_fingerprint.landmarks(x)), strict=True)) == plain_landmarks(x)
+
+
+def test_filters_on_an_empty_table(spark, no_docs):
+    from mediafold.llm import block_naming, toxicity_chain
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert block_naming.drop_exact_duplicates(no_docs).count() == 0
+    kept = toxicity_chain.keep_clean(no_docs, toxicity_chain.fit_chain(no_docs, labels, toxicity_chain.label_categories(labels)))
+    assert kept.columns == no_docs.columns and kept.count() == 0
+
+
 def test_other_widths_channels_and_broken_media(spark):
     files = [(1, None), (2, b"no wav"), (3, b"")]
     for k, (width, channels) in enumerate([(1, 2), (2, 1), (2, 2), (3, 1), (4, 1)]):
