@@ -39,6 +39,7 @@ STEPS = 30
 L2 = 1.0
 THRESHOLD = 0.1  # toxic texts are rare, and a word that only they have says much
 ROWS = 128
+AT_ONCE = 1 << 20
 MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,17 +62,49 @@ _memo = _Codes()
 
 def _numbers(codes: np.ndarray, level: int) -> np.ndarray:
     mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0xC2B2AE3D27D4EB4F % (1 << 64))
-    return (mixed >> np.uint64(64 - (FEATURES.bit_length() - 1))).astype(np.int32)
+    return mixed >> np.uint64(64 - (FEATURES.bit_length() - 1))
+
+
+def _groups(texts: Sequence[str | None]) -> Iterator[Sequence[str | None]]:
+    """The texts in order, some at once: ROWS at most, and of AT_ONCE letters at most unless a single one is longer."""
+    begin = size = 0
+    for end, text in enumerate(texts):
+        size += len(text or "")
+        if end > begin and (end - begin == ROWS or size > AT_ONCE):
+            yield texts[begin:end]
+            begin, size = end, len(text or "")
+    if begin < len(texts):
+        yield texts[begin:]
+
+
+def _owned_features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the texts' features, in order and once for each text, and which text each is of."""
+    packed = [b"".join(map(_memo.__getitem__, set(_WORD.findall((t or "").lower())))) for t in texts]
+    codes = np.frombuffer(b"".join(packed), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(p) // 4 for p in packed])
+    first, words = _distinct(owner << np.uint64(32) | codes)
+    codes, owner = first & np.uint64(0xFFFFFFFF), first >> np.uint64(32) << np.uint64(32)
+    beginning = (codes & np.uint64(1)).astype(bool)
+    found = [owner[~beginning] | _numbers(codes[~beginning], 0)]
+    codes, owner, words = codes[beginning], owner[beginning], words[beginning]
+    for n in LEVELS:
+        enough = words >= n
+        codes, owner, words = codes[enough], owner[enough], words[enough]
+        found.append(owner | _numbers(codes, n))
+    both = _distinct(np.concatenate(found))[0]
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.int32), (both >> np.uint64(32)).astype(np.int64)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different values and how often each is there."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return x[at], np.diff(at, append=len(x))
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted numbers of a text's features."""
-    codes = np.sort(np.frombuffer(b"".join(map(_memo.__getitem__, set(_WORD.findall((text or "").lower())))), "<u4"))
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    codes, words = codes[first], np.diff(first, append=len(codes))
-    beginning = (codes & 1).astype(bool)
-    found = [_numbers(codes[~beginning], 0), *(_numbers(codes[beginning & (words >= n)], n) for n in LEVELS)]
-    return np.unique(np.concatenate(found))
+    return _owned_features([text])[0]
 
 
 def minimised(f, x: np.ndarray, steps: int) -> np.ndarray:
@@ -152,8 +185,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            found = pa.array([features(t) for t in part.column(2).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["fold", "labels", "features"])
+            found = [(numbers, np.bincount(owner, minlength=len(texts))) for texts in _groups(part.column(2).to_pylist()) for numbers, owner in [_owned_features(texts)]]
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([sizes for _, sizes in found]))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([numbers for numbers, _ in found])))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["fold", "labels", "features"])
 
 
 def _columns(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -206,11 +241,17 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     return models
 
 
-def probabilities(models: Sequence[np.ndarray], text: str | None) -> list[float]:
-    row, found = features(text), []
-    for weights in models:
-        found.append(Linear.probability(weights, row, found))
-    return found
+def probabilities(models: Sequence[np.ndarray], texts: Sequence[str | None]) -> np.ndarray:
+    """A row for each text, a column for each category."""
+    done = []
+    for some in _groups(texts):
+        numbers, owner = _owned_features(some)
+        p = np.zeros((len(some), len(models)))
+        for k, weights in enumerate(models):
+            z = np.bincount(owner, weights=weights[numbers], minlength=len(some)) + p[:, :k] @ weights[FEATURES:-1].astype(float) + weights[-1]
+            p[:, k] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        done.append(p)
+    return np.concatenate(done) if done else np.zeros((0, len(models)))
 
 
 def score_chain(docs: DataFrame, models: list[np.ndarray], names: Sequence[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +262,7 @@ def score_chain(docs: DataFrame, models: list[np.ndarray], names: Sequence[str],
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                p = np.array([probabilities(shared.value, t) for t in part.column(1).to_pylist()])
+                p = probabilities(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= threshold)], ["id", *(f"p_{n}" for n in names), "rejected"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
@@ -238,7 +279,7 @@ def keep_clean(docs: DataFrame, models: list[np.ndarray], text_col: str = "text"
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                yield part.filter(pa.array([probabilities(shared.value, t)[-1] < threshold for t in part.column(at_text).to_pylist()]))
+                yield part.filter(pa.array(probabilities(shared.value, part.column(at_text).to_pylist())[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

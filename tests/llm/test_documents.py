@@ -356,6 +356,20 @@ def test_chain_against_a_plain_version(spark):
     assert any(i is None and abs(a - first) < 1e-9 and abs(b - toxicity_chain.Linear.probability(models[1], np.array(plain_features("badword"), np.int64), [first])) < 1e-9 for i, a, b in p)
 
 
+def test_chain_scores_many_texts_as_each_alone(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", "1 2 3"] + [" ".join("abcdefgh"[: rng.randrange(9)] + rng.choice("xyzw") for _ in range(rng.randrange(400))) for _ in range(300)]
+    weights = [np.random.default_rng(k).normal(size=toxicity_chain.FEATURES + 1 + k).astype(np.float32) for k in range(2)]
+    monkeypatch.setattr(toxicity_chain, "AT_ONCE", 1500)
+    assert [t for g in toxicity_chain._groups(texts) for t in g] == texts
+    found = toxicity_chain.probabilities(weights, texts)
+    for text, (a, b) in zip(texts, found, strict=True):
+        own = np.array(sorted(plain_features(text)), np.int64)
+        first = toxicity_chain.Linear.probability(weights[0], own, [])
+        assert abs(a - first) < 1e-9 and abs(b - toxicity_chain.Linear.probability(weights[1], own, [first])) < 1e-9
+    assert toxicity_chain.probabilities(weights, []).shape == (0, 2)
+
+
 def test_chain_with_a_labelled_id_of_many_rows(spark):
     rows = [(1, f"text {k % 7}") for k in range(5000)] + [(2, "fine words"), (3, "bad words")]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
