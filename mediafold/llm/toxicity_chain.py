@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediafold.llm._common import materialise, table
+from mediafold.llm._common import frugal, materialise, table
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5)
@@ -40,7 +40,7 @@ L2 = 1.0
 THRESHOLD = 0.1  # toxic texts are rare, and a word that only they have says much
 ROWS = 128
 AT_ONCE = 1 << 20
-MEMO = 500_000
+MEMO = 100_000  # words; about 25 MB
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -224,7 +224,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     rows = rows.groupBy("h", "id", "labels", "copy").agg(F.min("text").alias("text"))
     rows = rows.select(F.pmod("h", F.lit(folds)).cast("int").alias("fold"), "labels", "text")
     schema = "fold int, labels array<int>, features array<int>"
-    rows = materialise(rows.mapInArrow(_featured, schema).withColumn("earlier", F.array().cast("array<double>")), "chain-0")
+    rows = materialise(rows.mapInArrow(frugal(_featured), schema).withColumn("earlier", F.array().cast("array<double>")), "chain-0")
     models = []
     for k in range(len(categories)):
         # each group lacks one fold; the group numbered ``folds`` has all
@@ -267,7 +267,7 @@ def score_chain(docs: DataFrame, models: list[np.ndarray], names: Sequence[str],
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + "".join(f"p_{n} double, " for n in names) + "rejected boolean"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, models: list[np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -281,7 +281,7 @@ def keep_clean(docs: DataFrame, models: list[np.ndarray], text_col: str = "text"
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(probabilities(shared.value, part.column(at_text).to_pylist())[:, -1] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def label_categories(labels: DataFrame) -> dict[str, Column]:
