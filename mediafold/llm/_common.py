@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,13 @@ def frugal(work: Work) -> Work:
     return run
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """From now on this session sends Python workers ``rows`` rows at a time, or fewer if it does so already: of whole texts, both sides hold some batches."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as make it one that df does not have."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from mediafold.llm._common import table
+from mediafold.llm._common import frugal, table
 from mediafold.llm.token_memo import packed_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -176,7 +176,7 @@ def pack_texts(
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in _NAMES[1:]) + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_pack(path, end_id, limits or Limits(), cut, with_ids), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(_pack(path, end_id, limits or Limits(), cut, with_ids)), schema).withColumnRenamed("id", id_col)
 
 
 def _pack_examples(limits: Limits, cut: bool):
