@@ -14,6 +14,7 @@ from mediafold.llm.path_templates import op5_path_templates
 from mediafold.llm.period_runs import op13_period_runs
 from mediafold.llm.ppm import op8_ppm
 from mediafold.llm.repair_store import op2_repair_store
+from mediafold.llm.set_join import op11_set_join
 from mediafold.llm.simhash import op9_simhash_pivots
 from mediafold.llm.toxicity_chain import op1_toxicity_chain
 from mediafold.llm.vector_codes import op12_elkan_codes
@@ -25,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES = (
     op1_toxicity_chain, op2_repair_store, op3_block_naming, op4_vector_packing, op5_path_templates, op6_tiered_compaction, op7_bpe_codec, op8_ppm, op9_simhash_pivots, op10_wav_fingerprint,
-    op12_elkan_codes, op13_period_runs,
+    op11_set_join, op12_elkan_codes, op13_period_runs,
 )
 
 

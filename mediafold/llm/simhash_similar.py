@@ -16,7 +16,7 @@ of its blocks of rows, so no task holds more than two blocks of a key. Texts are
 Defined cases: texts without words are similar to each other; of fewer words than a shingle's the whole sequence is the only
 shingle; of each group the row with the smallest id stays, null ids last, then the first in reading order; an empty table gives
 an empty result; other columns are passed on, whatever their names. Shingles are told apart by 64-bit hashes in the search (a pair of
-similarity 0.8 could be missed only if two of its own shingles have the same), by their bytes in the comparison.
+similarity 0.8 could be missed only if two different shingles of its own have the same, less likely than n^2 / 2^64), by their bytes in the comparison.
 """
 
 from __future__ import annotations
@@ -46,20 +46,21 @@ BLOCK = 16384
 PAIRS = 1 << 20
 AT_ONCE = 1 << 20  # bytes of text
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)  # two multiples up to seven times differ in their highest byte
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first n bytes
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, eight bytes at a time, and where each begins. Words of up to eight bytes never have the same hash as others of their length."""
+    """64-bit hashes of the words, eight bytes at a time, and where each begins. Different words of up to seven bytes never have the same hash."""
     data = b" %b %b" % (data.lower(), bytes(7))
     raw = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[raw[:-7]]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, length = edge[::2], edge[1::2] - edge[::2]
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h, at, left = length.astype(np.uint64), np.arange(len(start)), length
+    h, at, left = length.astype(np.uint64) * _LENGTH, np.arange(len(start)), length
     for c in range(0, int(length.max(initial=0)), 8):
         at = at[left > 0] if c else at
         left = length[at] - c
@@ -347,9 +348,10 @@ def _nearest(similarity: float):
     return _whole_cells(work)
 
 
-def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+def _clearly_unlike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Of hashes: so far from similar that no few equal hashes of different shingles can be the reason."""
     both = len(np.intersect1d(p, q, assume_unique=True))
-    return both >= similarity * (len(p) + len(q) - both)
+    return both + 3 < (similarity - 0.01) * (len(p) + len(q) - both)
 
 
 def _alike_by_bytes(x: bytes | None, y: bytes | None, words: int, similarity: float) -> bool:
@@ -371,8 +373,7 @@ def _similar(words: int, similarity: float):
                 keep = []
                 for x, y in zip(*(part.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)), strict=True):
                     p, q = shingle_sets([x], words), shingle_sets([y], words)
-                    # equal hashes of different shingles can only make sets seem more alike
-                    keep.append(_alike(next(p), next(q), similarity) and _alike_by_bytes(x, y, words, similarity))
+                    keep.append(not _clearly_unlike(next(p), next(q), similarity) and _alike_by_bytes(x, y, words, similarity))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
