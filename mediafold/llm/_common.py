@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,15 +53,24 @@ def frugal(work: Work) -> Work:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
         pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
 
     return run
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """From now on this session sends Python workers ``rows`` rows at a time, or fewer if it does so already: of whole texts, both sides hold some batches."""
-    now = int(spark.conf.get(BATCH_ROWS))
-    if not 0 < now <= rows:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """What runs within sends Python workers ``rows`` rows at a time, or fewer if the session does so already: of whole texts, both sides hold some batches."""
+    now = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(now) <= rows:
         spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, now)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-MEMO = 1_000_000  # words; the memo starts anew beyond, so a worker's memory is bounded
+MEMO = 200_000  # words, some 50 MB; the memo starts anew beyond, as a worker lives on beside the next stages
 MEMO_WORD = 48  # characters; longer words are encoded each time
 
 #: White space by Unicode, beside blank and line end.
