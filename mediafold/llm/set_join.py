@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediafold.llm._common import drop_table, frugal, join_groups, marked, materialise, table
+from mediafold.llm._common import drop_table, frugal, join_groups, marked, materialise, table, without
 from mediafold.llm.components import components
 from mediafold.llm.simhash import majority_bits
 from mediafold.llm.simhash_similar import BLOCK, CELL, FOLD, SLOTS, _cells, _Rows, _whole_cells, first_shared, prefix_length, quick_candidates, shingle_sets, slot_counts, still_shared
@@ -268,7 +268,9 @@ def set_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similar
 
 def similar_sets(texts: DataFrame, signed: DataFrame, classes: DataFrame, words: int, similarity: float, quick: int = QUICK, block: int = BLOCK) -> DataFrame:
     """node and root of the classes (by their rep) that links connect, without the roots."""
-    reps = signed.select("row", "size", "sketch", "fold", "keys").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    others = signed.select("row", "size", "digest").filter("size > 0").join(classes.select(F.col("rep").alias("row"), "digest", F.lit(True).alias("first")).hint("merge"), ["row", "digest"], "left")
+    others = materialise(others.filter("first IS NULL").select("row"), "other-rows")
+    reps = without(signed.filter("size > 0").select("row", "size", "sketch", "fold", "keys"), "row", others)
     shared, members, found, links = first_shared(reps), None, None, None
     for turn in range(quick + 1):
         last = turn == quick
