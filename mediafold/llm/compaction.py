@@ -2,12 +2,14 @@
 
 A store is a folder with ``shards/``, where Parquet files are written once and never changed, and ``manifest/``, with one folder of
 JSON lines per version. A version lists the live shards (path, rows, bytes). It is written beside and then renamed to its number;
-the rename fails if another writer took the number first, so readers see whole versions only and no commit is lost unseen.
+the rename fails if another writer took the number first, so readers see whole versions only. A writer that comes second applies its change to the version
+that came first and tries again; a merge whose shards are gone by then is given up (``CommitConflict``).
 
 ``append`` writes an arrival as small shards. ``compact`` sorts the live shards into tiers, each ``FANOUT`` times as large as the one
 before; the shards of a tier that has ``FANOUT`` or more of them are read together and written anew as files of about the target
 size, until no tier has so many. Spark's reader packs the files of a merge into its tasks and each task writes
-one file, so no row is shuffled. Shards of the target size or more are left alone. ``vacuum`` deletes files that no kept version lists.
+one file, so no row is shuffled. Shards of the target size or more are left alone. ``vacuum`` deletes files that no kept version lists, but none of a
+write that has begun and is not committed yet: each registers itself under ``pending/`` first. What a writer that died has left goes after ``PENDING_HOURS``.
 
 Defined cases: an arrival without rows adds no shard but a version; nulls, repeated rows and columns of any name are kept as they
 are; a store without versions can't be read, compacting it does nothing; a row larger than the target is a file of its own.
@@ -16,7 +18,9 @@ are; a store without versions can't be read, compacting it does nothing; a row l
 from __future__ import annotations
 
 import math
+import time
 import uuid
+from collections.abc import Callable
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
@@ -28,6 +32,8 @@ from mediafold.llm._common import new_path, table
 FANOUT = 4
 TARGET_BYTES = 64 << 20
 ARRIVAL_ROWS = 2_000
+PENDING_HOURS = 24.0
+TRIES = 20
 
 
 class CommitConflict(RuntimeError):
@@ -75,12 +81,35 @@ class ShardStore:
         files = self.spark.read.parquet(folder).select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes"))
         return files.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")).filter("rows > 0")
 
+    def _begin(self) -> str:
+        """Registers a write; the folder for its files."""
+        name = uuid.uuid4().hex
+        fs, p = self._at(f"{self.path}/pending/{name}")
+        fs.create(p).close()
+        return f"{self.path}/shards/{name}"
+
+    def _end(self, folder: str) -> None:
+        fs, p = self._at(f"{self.path}/pending/{folder.rsplit('/', 1)[1]}")
+        fs.delete(p, False)
+
+    def _publish(self, change: Callable[[DataFrame | None], DataFrame]) -> int:
+        """Commits what change() makes of the latest version's shards (None if there is no version), again and again until no other writer is first."""
+        for _ in range(TRIES):
+            known = self.versions()
+            try:
+                return self._commit(change(self.manifest(known[-1]) if known else None), (known[-1] if known else 0) + 1)
+            except CommitConflict:
+                if not self.versions() or self.versions() == known:
+                    raise
+        raise CommitConflict(f"{TRIES} other writers were first")
+
     def append(self, rows: DataFrame, rows_per_shard: int = ARRIVAL_ROWS) -> int:
-        folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-        known = self.versions()
+        folder = self._begin()
         rows.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
         new = self._listed(folder)
-        return self._commit(self.manifest(known[-1]).unionByName(new) if known else new, (known[-1] if known else 0) + 1)
+        version = self._publish(lambda live: new if live is None else live.unionByName(new))
+        self._end(folder)
+        return version
 
     def tiers(self, shards: DataFrame) -> DataFrame:
         """shards with their tier: how many times ``fanout`` the target is as large, rounded down; null from half the target on."""
@@ -99,10 +128,19 @@ class ShardStore:
             return None
         run = shards.filter(F.col("tier") == tier["tier"])
         paths = [r["path"] for r in run.select("path").orderBy("path").toLocalIterator()]
-        folder = f"{self.path}/shards/{uuid.uuid4().hex}"
+        folder = self._begin()
         self.spark.read.parquet(*paths).coalesce(max(1, round(tier["bytes"] / self.target))).write.parquet(folder)
-        rest = shards.filter(F.col("tier").isNull() | (F.col("tier") != tier["tier"]))
-        return self._commit(rest.select("path", "rows", "bytes").unionByName(self._listed(folder)), known[-1] + 1)
+        new = self._listed(folder)
+        merged = run.select("path")
+
+        def replaced(live: DataFrame | None) -> DataFrame:
+            if live is None or live.join(merged, "path", "left_semi").count() != len(paths):
+                raise CommitConflict("another writer merged some of these shards")
+            return live.join(merged, "path", "left_anti").unionByName(new)
+
+        version = self._publish(replaced)
+        self._end(folder)
+        return version
 
     def compact(self) -> int:
         """Merges until no tier is crowded; how many versions that took."""
@@ -111,18 +149,29 @@ class ShardStore:
             n += 1
         return n
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes versions but the last ``keep`` and all files that none of these lists; the number of files."""
-        known = self.versions()
-        for v in known[:-keep]:
-            fs, p = self._at(f"{self.path}/manifest/{v:08d}")
-            fs.delete(p, True)
-        live = {r["path"] for v in known[-keep:] for r in self.manifest(v).select("path").toLocalIterator()}
+    def _pending(self, hours: float) -> set[str]:
+        """Writes that have begun in the last hours and are not committed."""
+        fs, p = self._at(f"{self.path}/pending")
+        since = (time.time() - 3600 * hours) * 1000
+        return {s.getPath().getName() for s in fs.listStatus(p) if s.getModificationTime() >= since} if fs.exists(p) else set()
+
+    def vacuum(self, keep: int = 1, pending_hours: float = PENDING_HOURS) -> int:
+        """Deletes versions but the last ``keep`` and all files that none of these lists and no pending write may list yet; the number of files."""
         fs, top = self._at(f"{self.path}/shards")
-        deleted, files = 0, fs.listFiles(top, True)
+        there, files = [], fs.listFiles(top, True)
         while files.hasNext():
             p = files.next().getPath()
-            if p.getName().endswith(".parquet") and p.toUri().toString() not in live and p.toString() not in live:
+            if p.getName().endswith(".parquet"):
+                there.append(p)
+        # in this order: a file listed above whose write is not pending here was committed before, so the versions below have it
+        pending = self._pending(pending_hours)
+        known = self.versions()
+        live = {r["path"] for v in known[-keep:] for r in self.manifest(v).select("path").toLocalIterator()}
+        for v in known[:-keep]:
+            fs.delete(self._at(f"{self.path}/manifest/{v:08d}")[1], True)
+        deleted = 0
+        for p in there:
+            if p.getParent().getName() not in pending and p.toUri().toString() not in live and p.toString() not in live:
                 deleted += fs.delete(p, False)
         return deleted
 

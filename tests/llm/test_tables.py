@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mediafold.llm import catalog, path_templates, wav_fingerprint
 from mediafold.llm._common import new_path
-from mediafold.llm.compaction import CommitConflict, ShardStore
+from mediafold.llm.compaction import CommitConflict, ShardStore, op6_tiered_compaction
 
 URLS = [
     "http://A.Example.COM/en/7817?x=1", "https://example.com/en/55", "http://other.com/en/9", "http://x.net/de/81", "http://example.net/de/81", "http://m.example.net/de/9#top", "http://notexample.net/de/81",
@@ -193,6 +193,66 @@ def test_a_second_writer_of_a_version_fails(store, edge_docs):
     assert rows_of(store.read()) == rows_of(edge_docs)
 
 
+def test_vacuum_spares_a_write_that_is_not_committed(store, edge_docs, monkeypatch):
+    store.append(edge_docs, rows_per_shard=2)
+    commit = ShardStore._commit
+
+    def late(self, shards, version):
+        monkeypatch.setattr(ShardStore, "_commit", commit)
+        assert self.vacuum() == 0  # the arrival's files are there, no version has them
+        return commit(self, shards, version)
+
+    monkeypatch.setattr(ShardStore, "_commit", late)
+    store.append(edge_docs)
+    assert rows_of(store.read()) == sorted(2 * rows_of(edge_docs), key=repr)
+    assert store._pending(1) == set()
+    folder = store._begin()  # a writer that died
+    edge_docs.write.parquet(folder)
+    assert store.vacuum() == 0 and store.vacuum(pending_hours=-1) > 0
+    assert len(rows_of(store.read())) == 2 * edge_docs.count()
+
+
+@pytest.mark.parametrize("action", ["append", "compact"])
+def test_a_second_writer_tries_again(store, edge_docs, monkeypatch, action):
+    for _ in range(3):
+        store.append(edge_docs, rows_per_shard=50)
+    commit = ShardStore._commit
+
+    def second(self, shards, version):
+        monkeypatch.setattr(ShardStore, "_commit", commit)
+        self.append(edge_docs)
+        return commit(self, shards, version)
+
+    monkeypatch.setattr(ShardStore, "_commit", second)
+    store.append(edge_docs) if action == "append" else store.compact()
+    assert rows_of(store.read()) == sorted((5 if action == "append" else 4) * rows_of(edge_docs), key=repr)
+
+
+def test_a_merge_of_merged_shards_is_given_up(store, edge_docs, monkeypatch):
+    for _ in range(3):
+        store.append(edge_docs, rows_per_shard=50)
+    commit = ShardStore._commit
+
+    def second(self, shards, version):
+        monkeypatch.setattr(ShardStore, "_commit", commit)
+        self.compact()
+        return commit(self, shards, version)
+
+    monkeypatch.setattr(ShardStore, "_commit", second)
+    with pytest.raises(CommitConflict):
+        store.compact()
+    assert rows_of(store.read()) == sorted(3 * rows_of(edge_docs), key=repr)
+
+
+def test_compaction_query(spark, sf):
+    docs = {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op6_tiered_compaction(spark, sf).collect()
+    assert len(got) == len(docs) and {r["doc_id"]: r["text_sha256"] for r in got} == docs
+    for (rows, _), n in Counter((r["shard_rows"], r["shard_bytes"]) for r in got).items():
+        assert n % rows == 0
+    assert len({r["version"] for r in got}) == 1 and got[0]["version"] >= 4
+
+
 def test_empty_arrivals_and_stores(store, edge_docs, no_docs):
     assert store.compact() == 0 and store.versions() == []
     store.append(edge_docs)
