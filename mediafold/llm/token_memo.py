@@ -12,7 +12,8 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-MEMO = 200_000  # words, some 50 MB; the memo starts anew beyond, as a worker lives on beside the next stages
+MEMO = 1_000_000  # words, some 250 MB; the memo starts anew beyond, so a worker's memory is bounded
+FEW = 200_000  # the same where a worker lives on beside other stages
 MEMO_WORD = 48  # characters; longer words are encoded each time
 
 #: White space by Unicode, beside blank and line end.
@@ -91,7 +92,7 @@ class PackedEncoder:
     """The ids that the tokenizer of the file gives for whole texts. A text that holds one of its added tokens is encoded as a whole
     by the library, and so is every text where the file's normaliser and pre-tokenizer are not those of one of ``KINDS``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
         tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -103,7 +104,7 @@ class PackedEncoder:
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.vocabulary = tokenizer.get_vocab_size()
         self.pieces = {"byte_level": byte_level_pieces, "word": word_pieces, None: None}[self.kind]
-        self.memo = Memo(tokenizer, self.kind, self.width)
+        self.memo = Memo(tokenizer, self.kind, self.width, memo)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -114,6 +115,6 @@ class PackedEncoder:
 
 
 @lru_cache(maxsize=2)
-def packed_encoder(path: str) -> PackedEncoder:
+def packed_encoder(path: str, memo: int = MEMO) -> PackedEncoder:
     """One encoder and memo for all tasks of a Python worker."""
-    return PackedEncoder(path)
+    return PackedEncoder(path, memo)

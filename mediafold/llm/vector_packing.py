@@ -5,7 +5,8 @@ and has the greatest dot product with what remains is placed next, so a sequence
 short of loss-bearing tokens takes prompts. With ``cut`` (documents) an example that doesn't fit may be cut to fill the rest.
 
 Each task packs the rows that it reads, from a pool of at most ``POOL`` examples, so nothing is shuffled and memory is
-bounded; only the last sequence of a task is not full. With ``cut`` that one is cut into lengths that are powers of two.
+bounded. A sequence that isn't full, as the limit of segments or of loss-bearing tokens was reached first or as the task ends, is with ``cut`` cut into
+sequences whose lengths are powers of two, so they need no padding.
 
 Defined cases: a null text is empty and has only its end id; an example longer than a sequence is cut even without ``cut``;
 equal rows are packed each for itself; an empty table gives an empty result; other columns are not read. The result is a
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from mediafold.llm._common import frugal, table
-from mediafold.llm.token_memo import packed_encoder
+from mediafold.llm.token_memo import MEMO, packed_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -104,33 +105,36 @@ class Packer:
                     break
                 left -= (n, 1, self._loss(self.items[k][3], start, start + n))
                 made.append((key, start, n))
-            yield made
+            yield from self._closed(made)
         self.items = [x for x, a in zip(self.items, alive, strict=True) if a]
         self.demand = self.demand[alive]
 
+    def _closed(self, made: list[tuple]) -> Iterator[list[tuple]]:
+        """The sequence; cut at powers of two if that is allowed and it isn't full."""
+        used = sum(n for _, _, n in made)
+        while self.cut and made and used < self.limits.tokens:
+            now, room = [], 1 << used.bit_length() - 1
+            used -= room
+            while room:
+                key, start, n = made.pop(0)
+                now.append((key, start, min(n, room)))
+                if n > room:
+                    made.insert(0, (key, start + room, n - room))
+                room -= now[-1][2]
+            yield now
+        if made:
+            yield made
+
     def finish(self) -> Iterator[list[tuple]]:
-        for made in self._fill(0):
-            used = sum(n for _, _, n in made)
-            while self.cut and made and used < self.limits.tokens:
-                now, room = [], 1 << used.bit_length() - 1
-                used -= room
-                while room:
-                    key, start, n = made.pop(0)
-                    now.append((key, start, min(n, room)))
-                    if n > room:
-                        made.insert(0, (key, start + room, n - room))
-                    room -= now[-1][2]
-                yield now
-            if made:
-                yield made
+        return self._fill(0)
 
 
 _NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _pack(path: str, end_id: int, limits: Limits, cut: bool, with_ids: bool):
+def _pack(path: str, end_id: int, limits: Limits, cut: bool, with_ids: bool, memo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = packed_encoder(path)
+        encode = packed_encoder(path, memo)
         end, width = end_id.to_bytes(encode.width, "little"), encode.width
         packer, texts, sequence, serial, id_type = Packer(limits, cut), {}, (TaskContext.get().partitionId() << 33) - 1, 0, None
 
@@ -170,13 +174,13 @@ def _pack(path: str, end_id: int, limits: Limits, cut: bool, with_ids: bool):
 
 def pack_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
-    end_id: int = END_ID, limits: Limits | None = None, cut: bool = True, with_ids: bool = False,
+    end_id: int = END_ID, limits: Limits | None = None, cut: bool = True, with_ids: bool = False, memo: int = MEMO,
 ) -> DataFrame:
-    """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with ``with_ids`` its ids."""
+    """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with ``with_ids`` its ids. memo: how many words a Python worker remembers."""
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in _NAMES[1:]) + ", ids array<int>" * with_ids
-    return rows.mapInArrow(frugal(_pack(path, end_id, limits or Limits(), cut, with_ids)), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(_pack(path, end_id, limits or Limits(), cut, with_ids, memo)), schema).withColumnRenamed("id", id_col)
 
 
 def _pack_examples(limits: Limits, cut: bool):

@@ -205,3 +205,11 @@ def test_instruction_packing(spark):
     rows = [(1, [True] * 3 + [False] * 2), (2, None), (3, []), (4, [True] * 5), (4, [True] * 5)]
     got = vector_packing.pack_examples(spark.createDataFrame(rows, "k long, mask array<boolean>"), "k", "mask", vector_packing.Limits(8, 2, 6)).collect()
     assert Counter(r["k"] for r in got) == {1: 1, 4: 2} and sum(r["length"] for r in got) == 15
+
+
+def test_short_documents_need_no_padding():
+    packer = vector_packing.Packer(vector_packing.Limits(), cut=True)
+    lengths = [sum(n for _, _, n in made) for part in range(20) for made in packer.add([(k, 5, None) for k in range(1000 * part, 1000 * part + 1000)])]
+    lengths += [sum(n for _, _, n in made) for made in packer.finish()]
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in lengths)
+    assert sum(lengths) == 100_000 and padded < 0.02 * sum(lengths)
