@@ -1,9 +1,10 @@
 """URL verdicts by rules and by a path-template tree per host, with DataFrame operations only.
 
-The tree is grown level by level, at most ``depth`` levels (what lies deeper is one last segment, "**") or, if it is None, all.
+The tree is grown of the distinct paths, level by level, at most ``depth`` levels (what lies deeper is one last segment, "**") or, if it is None, all.
 At each node of a host's tree the digits of a segment become "*". If the node has over ``CHILDREN`` different segments after that,
 those without any label become "*" as a whole; the test below would merge them anyway. Every segment with labels keeps its name, at any
-number of siblings. Then, from the deepest level up, a branch whose share
+number of siblings. So below a node of ``CHILDREN`` paths or fewer all is known at once, and there are as many passes as levels at which more
+paths share a node. Then, from the deepest level up, at each level at which paths of one host and length differ, a branch whose share
 of good labels doesn't differ from that of its siblings together, by a z-test of a proportion, is merged with them into "*".
 Each template that is left has the smoothed purity (good + PRIOR * g) / (labelled + PRIOR), g being the share of good among all
 labels; a template of a purity under ``PURITY`` is rejected and its urls get the verdict block.
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediafold.llm._common import join_groups, materialise, table
+from mediafold.llm._common import drop_table, join_groups, materialise, table
 
 DEPTH = 8
 CHILDREN = 16
@@ -61,37 +62,50 @@ def longest_rule(rules: Sequence[tuple[str, str, str]], host: Column, path: Colu
     return text, verdict
 
 
-def _generalised(urls: DataFrame, depth: int | None, children: int) -> DataFrame:
-    """urls (host, segments, ...) with template, an array as long as segments. Each level is one pass over the urls that reach it."""
-    urls = materialise(urls.withColumn("template", F.array().cast("array<string>")), "tree-0")
-    total, levels = urls.agg(F.count(F.lit(1)), F.max(F.size("segments"))).first()
-    levels = levels or 0
-    done = []
-    for d in range(levels):
-        has = F.size("segments") > d
-        segment = F.get("segments", F.lit(d))
-        last = F.lit(depth is not None and d == depth)
-        plain = F.when(last | F.lit(d == 0), segment).otherwise(F.regexp_replace(segment, "[0-9]+", "*"))
-        node = urls.filter(has).withColumns({"node": F.array_join("template", "/"), "plain": plain})
-        done.append(urls.filter(~has))
-        counts = node.groupBy("host", "node", "plain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labelled"))
+def _generalised(paths: DataFrame, depth: int | None, children: int) -> DataFrame:
+    """paths (host, segments, n, good, bad; each once) with template, an array as long as segments."""
+    first = materialise(paths.withColumn("template", F.array().cast("array<string>")), "tree-0")
+    total = first.count()
+    rows, done, tables, d = first, [], [first], 0
+
+    def plain(segment: Column, at: Column) -> Column:
+        last = F.lit(False) if depth is None else at == depth
+        return F.when(last | (at == 0), segment).otherwise(F.regexp_replace(segment, "[0-9]+", "*"))
+
+    while total and not rows.isEmpty():
+        node = rows.withColumns({"node": F.array_join("template", "/"), "plain": plain(F.get("segments", F.lit(d)), F.lit(d))})
+        counts = node.groupBy("host", "node", "plain").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("good") + F.col("bad")).alias("labelled"))
         counts = materialise(counts, f"segments-{d}")
-        nodes = counts.groupBy("host", "node").agg(F.count(F.lit(1)).alias("branches"))
+        nodes = counts.groupBy("host", "node").agg(F.count(F.lit(1)).alias("branches"), F.sum("k").alias("paths"))
         named = counts.join(nodes, ["host", "node"])
-        rare = (F.col("branches") > children) & (F.col("labelled") == 0) & ~last & F.lit(d > 0)
+        rare = (F.col("branches") > children) & (F.col("labelled") == 0) & F.lit(d > 0 and d != depth)
         named = named.withColumn("named", F.when(rare, F.regexp_replace("plain", r"^[^.]+", "*")).otherwise(F.col("plain"))).drop("branches", "labelled")
-        grown = join_groups(node, named, ["host", "node", "plain"], "n", total)
-        urls = materialise(grown.withColumn("template", F.concat("template", F.array("named"))).select(urls.columns), f"tree-{d + 1}")
-    for rows in done:
-        urls = urls.unionByName(rows)
-    return urls
+        grown = join_groups(node, named, ["host", "node", "plain"], "k", total).withColumn("template", F.concat("template", F.array("named")))
+        rest = F.transform(F.slice("segments", d + 2, 1 << 30), lambda s, i: plain(s, i + d + 1))
+        over = (F.col("paths") <= children) | (F.size("segments") <= d + 1)
+        grown = grown.withColumns({"over": over, "template": F.when(over, F.concat("template", rest)).otherwise(F.col("template"))})
+        rows = materialise(grown.select(*first.columns, "over"), f"tree-{d + 1}")
+        tables += [counts, rows]
+        done.append(rows.filter("over").drop("over"))
+        rows, d = rows.filter("NOT over").drop("over"), d + 1
+    out = first.filter("false")
+    for part in done:
+        out = out.unionByName(part)
+    out = materialise(out, "tree")
+    for old in tables:
+        drop_table(old)
+    return out
 
 
 def _merged(templates: DataFrame, depth: int | None, z: float) -> DataFrame:
     """templates (host, template, n, good, bad) with ``branch``, the template after merging."""
-    templates = templates.withColumn("branch", F.col("template"))
-    levels = templates.agg(F.max(F.size("template"))).first()[0] or 0
-    for d in reversed(range(1, levels if depth is None else min(levels, depth + 1))):
+    templates = materialise(templates.withColumn("branch", F.col("template")), "branches")
+    # siblings are of one length and differ at one level; merging only makes templates more alike
+    places = templates.select("host", F.size("template").alias("size"), F.posexplode("template").alias("d", "segment"))
+    apart = places.groupBy("host", "size", "d").agg((F.min("segment") != F.max("segment")).alias("differ")).filter("differ AND d > 0")
+    apart = apart if depth is None else apart.filter(F.col("d") <= depth)
+    for d in sorted((r["d"] for r in apart.select("d").distinct().collect()), reverse=True):  # as many as the deepest path has levels at most
+        before = templates
         templates = templates.withColumn("parent", F.transform("branch", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s)))
         own, all_ = Window.partitionBy("host", "branch"), Window.partitionBy("host", "parent")
         templates = templates.select(
@@ -103,6 +117,7 @@ def _merged(templates: DataFrame, depth: int | None, z: float) -> DataFrame:
         far = F.abs(F.col("g") - F.col("k") * share) > z * F.sqrt(F.col("k") * share * (1 - share))
         templates = templates.withColumn("branch", F.when((F.size("branch") > d) & F.col("siblings") & ~far, F.col("parent")).otherwise(F.col("branch"))).drop("parent", "g", "k", "pg", "pk", "siblings")
         templates = materialise(templates, f"branches-{d}")
+        drop_table(before)
     return templates
 
 
@@ -115,16 +130,21 @@ def judge_urls(
     cut = F.split("path", "/")
     tail = cut if depth is None else F.when(F.size(cut) > depth, F.concat(F.slice(cut, 1, depth), F.array(F.lit("**")))).otherwise(cut)
     known = labels.filter(labels[label_id_col].isNotNull()).groupBy(labels[label_id_col].alias("id")).agg(F.count_if(labels[good_col] == 1).alias("good"), F.count_if(labels[good_col] == 0).alias("bad"))
-    urls = urls.join(known, "id", "left").fillna(0, ["good", "bad"])
-    urls = _generalised(urls.withColumn("segments", tail), depth, children)
+    urls = materialise(urls.join(known, "id", "left").fillna(0, ["good", "bad"]), "urls")
     total, good, bad = urls.agg(F.count(F.lit(1)), F.sum("good"), F.sum("bad")).first()
     prior = (good or 0) / ((good or 0) + (bad or 0) or 1) if (good or 0) + (bad or 0) else 1.0
-    templates = urls.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    branches = _merged(materialise(templates, "templates"), depth, Z)
+    counts = (F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    paths = urls.withColumn("n", F.lit(1).cast("long")).groupBy("host", "path").agg(*counts)
+    paths = _generalised(paths.select("host", "path", tail.alias("segments"), "n", "good", "bad"), depth, children)
+    branches = _merged(paths.groupBy("host", "template").agg(*counts), depth, Z)
     own = Window.partitionBy("host", "branch")
     pure = (F.sum("good").over(own) + PRIOR * prior) / (F.sum(F.col("good") + F.col("bad")).over(own) + PRIOR)
-    verdicts = branches.select("host", "template", "n", F.array_join("branch", "/").alias("branch"), pure.alias("purity"))
-    rows = join_groups(urls.select("id", "host", "path", "template"), verdicts, ["host", "template"], "n", total)
+    verdicts = materialise(branches.select("host", "template", "n", F.array_join("branch", "/").alias("branch"), pure.alias("purity")), "templates")
+    of_path = join_groups(paths.select("host", "path", F.col("n").alias("copies"), "template"), verdicts, ["host", "template"], "n", total).select("host", "path", "copies", "branch", "purity")
+    of_path = materialise(of_path, "verdicts")
+    rows = join_groups(urls.select("id", "host", "path"), of_path, ["host", "path"], "copies", total)
+    for old in (paths, branches, verdicts):
+        drop_table(old)
     rule, said = longest_rule(rules, F.col("host"), F.col("path"))
     return rows.select(
         F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("purity") < purity, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),

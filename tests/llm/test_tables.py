@@ -3,7 +3,9 @@
 import hashlib
 import io
 import math
+import random
 import re
+import time
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -43,22 +45,21 @@ def brute_templates(rows, depth, children, z):
     segments = []
     for _, path, _, _ in rows:
         s = path.split("/")
-        segments.append([*s[:depth], "**"] if len(s) > depth else s)
+        segments.append([*s[:depth], "**"] if depth is not None and len(s) > depth else s)
+    depth = max(map(len, segments)) if depth is None else depth
     templates = [[] for _ in rows]
     for d in range(max(map(len, segments))):
-        below = defaultdict(set)
-        for (host, *_), s, t in zip(rows, segments, templates, strict=True):
-            if len(s) > d:
-                below[(host, "/".join(t))].add(s[d])
-        for (host, *_), s, t in zip(rows, segments, templates, strict=True):
-            if len(s) > d:
-                if d == 0 or s[d] == "**":
-                    name = s[d]
-                elif len(below[(host, "/".join(t))]) > children:
-                    name = re.sub(r"^[^.]+", "*", s[d])
-                else:
-                    name = re.sub("[0-9]+", "*", s[d])
-                t.append(name)
+        below, labelled = defaultdict(set), Counter()
+        plain = [s[d] if d == 0 or d == depth else re.sub("[0-9]+", "*", s[d]) if len(s) > d else None for s in segments if len(s) > d]
+        plain = dict(zip([k for k, s in enumerate(segments) if len(s) > d], plain, strict=True))
+        for k, name in plain.items():
+            node = (rows[k][0], tuple(templates[k]))
+            below[node].add(name)
+            labelled[node, name] += rows[k][2] + rows[k][3]
+        for k, name in plain.items():
+            node = (rows[k][0], tuple(templates[k]))
+            rare = 0 < d != depth and len(below[node]) > children and not labelled[node, name]
+            templates[k] = [*templates[k], re.sub(r"^[^.]+", "*", name) if rare else name]
     branches = [list(t) for t in templates]
     for d in reversed(range(1, min(max(map(len, templates)), depth + 1))):
         own, pool = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
@@ -137,6 +138,23 @@ def test_frequent_sections_are_judged_at_any_number_of_siblings_and_depth(spark)
     assert len(rows) == 1000 and all((r["verdict"] == "block") == ("/casino/" in r["path"] or "/spam/" in r["path"]) for r in rows)
 
 
+@pytest.mark.parametrize("children", [1, 3, 16])
+def test_templates_of_all_levels(spark, children):
+    rng = random.Random(children)
+    urls = URLS * 2 + [f"http://{rng.choice('xy')}.org/" + "/".join(rng.choice(["a", "b", f"n{rng.randrange(30)}", rng.choice("cdefghijklmnopqrstuvwxyz")]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    labels = [(k, rng.randint(0, 1)) for k in range(len(urls)) if k % 3 == 0] + [(7, 1), (7, 0)]
+    got, want, rows = judged_and_wanted(spark, urls, labels, (), depth=None, children=children)
+    for k, (template, purity) in enumerate(want):
+        assert got[k]["template"] == template and abs(got[k]["purity"] - purity) < 1e-5, urls[k]
+
+
+def test_a_path_of_many_segments_takes_no_pass_a_segment(spark):
+    long = "http://deep.org/" + "/".join(f"s{k}" for k in range(1000))
+    began = time.monotonic()
+    got, want, _ = judged_and_wanted(spark, [long, long, long + "/x", "http://deep.org/a"], [(0, 1)], (), depth=None)
+    assert [got[k]["template"] for k in range(4)] == [t for t, _ in want] and time.monotonic() - began < 60
+
+
 def test_no_urls_and_no_labels(spark):
     got, want, _ = judged_and_wanted(spark, URLS, [], ())
     assert len(got) == len(URLS) and all(r["verdict"] == "allow" for r in got.values())
