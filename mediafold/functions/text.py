@@ -34,6 +34,11 @@ def describe_name(path: Column, short: Column | None = None) -> Column:
     return plain if short is None else F.when(short, F.concat(humanize(path), F.lit(" (short sound effect)."))).otherwise(plain)
 
 
+def short_sound(duration: Column, gate: float = 0.35) -> Column:
+    """Whether a sound is too short for the tagger; one of unknown length (null or 0) is not."""
+    return F.coalesce((duration > 0) & (duration < gate), F.lit(False))
+
+
 def clean_tags(tags: Column) -> Column:
     return F.filter(F.transform(tags, trimmed), lambda t: t.isNotNull() & (t != ""))
 

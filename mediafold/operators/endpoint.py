@@ -133,20 +133,74 @@ def read_reply(status: int, body: str) -> tuple[dict | None, str, bool]:
     return (json.loads(span), "", False) if span else (None, f"no JSON object in the reply: {short(content)}", True)
 
 
-def analyse(ep: Endpoint, body: dict, transport: Transport = http, sleep: Callable[[float], None] = time.sleep) -> tuple[dict | None, str | None, int]:
-    """The reply's object or None, the last error and the number of attempts."""
-    error = ""
-    for attempt in range(1, ATTEMPTS + 1):
+@dataclass(frozen=True)
+class Attempt:
+    """One request of a row: its number, the answer's status (None if none came), what was wrong (None if nothing) and how long to wait before the next, in milliseconds (None if there is none)."""
+
+    attempt: int
+    status: int | None
+    error: str | None
+    wait_ms: int | None
+
+
+def attempted(ask: Callable[[int], tuple[int, str]]) -> Iterator[tuple[Attempt, dict | None]]:
+    """The states of a request, one for each attempt, the last with the reply's object if there is one. ask: the answer to the n-th attempt; an OSError if none came."""
+    for n in range(1, ATTEMPTS + 1):
+        status = None
         try:
-            reply, error, again = read_reply(*transport(ep.chat_url, body, ep.key, ep.timeout))
+            status, body = ask(n)
+            reply, error, again = read_reply(status, body)
         except OSError as e:
             reply, error, again = None, str(e), True
-        if reply is not None:
-            return reply, None, attempt
-        if not again or attempt == ATTEMPTS:
-            return None, error, attempt
-        sleep(FIRST_WAIT * 2 ** (attempt - 1))
-    return None, error, ATTEMPTS
+        goes_on = reply is None and again and n < ATTEMPTS
+        yield Attempt(n, status, error if reply is None else None, int(1000 * FIRST_WAIT * 2 ** (n - 1)) if goes_on else None), reply
+        if not goes_on:
+            return
+
+
+def analyse(ep: Endpoint, body: dict, transport: Transport = http, sleep: Callable[[float], None] = time.sleep) -> tuple[dict | None, str | None, int]:
+    """The reply's object or None, the last error and the number of attempts."""
+    last, reply = Attempt(0, None, "", None), None
+    for last, reply in attempted(lambda _: transport(ep.chat_url, body, ep.key, ep.timeout)):
+        if last.wait_ms is not None:
+            sleep(last.wait_ms / 1000)
+    return reply, last.error, last.attempt
+
+
+REPLIES = "array<struct<status:int,body:string>>"
+LOG = "array<struct<attempt:int,status:int,error:string,wait_ms:int>>"
+
+
+def replayed(rows: DataFrame, replies_col: str = "replies") -> DataFrame:
+    """rows with log and reply (JSON text): what the requests come to if their answers are those of ``replies_col`` (``REPLIES``), one an attempt, the last again and again.
+
+    A null status is a connection that failed. A row without answers has an empty log. Rows stay where they are; nothing is shuffled.
+    """
+
+    @F.pandas_udf(f"log {LOG}, reply string")
+    def states(scripts: pd.Series) -> pd.DataFrame:
+        out = []
+        for script in scripts:
+            log, reply = [], None
+            if script is not None and len(script):
+
+                def ask(n: int, script=script) -> tuple[int, str]:
+                    r = script[min(n, len(script)) - 1]
+                    if r["status"] is None:
+                        raise OSError("connection failed")
+                    return int(r["status"]), r["body"] or ""
+
+                for state, reply in attempted(ask):
+                    log.append({"attempt": state.attempt, "status": state.status, "error": state.error, "wait_ms": state.wait_ms})
+            out.append((log, None if reply is None else json.dumps(reply, ensure_ascii=False)))
+        return pd.DataFrame(out, columns=["log", "reply"])
+
+    return rows.withColumn("_states", states(F.col(replies_col).cast(REPLIES))).select(*(F.col(f"`{c}`") for c in rows.columns), "_states.log", "_states.reply")
+
+
+def over_inline_cap(size: Column, what: str, cap: int) -> Column:
+    """An error text where a part is too large to be sent, else null."""
+    return F.when(size > cap, F.concat(F.lit(f"{what} of "), size.cast("string"), F.lit(f" bytes is over the inline cap of {cap}")))
 
 
 def clean(value):
@@ -156,7 +210,7 @@ def clean(value):
     return [x.strip() for x in value if isinstance(x, str) and x.strip()] if isinstance(value, list) else value
 
 
-_REPLY = "llm_tags array<string>, llm_description string, llm_summary string, llm_model string, llm_failure string, llm_missing string, llm_media_error string, llm_attempts int"
+_REPLY = "llm_tags array<string>, llm_description string, llm_summary string, llm_model string, llm_failure string, llm_missing string, llm_media_error string, llm_attempts int, llm_ms long"
 
 
 def _text(value: object) -> str | None:
@@ -164,43 +218,46 @@ def _text(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+#: Of a file's path, kind, MIME type and duration: images (content, MIME type) and a sound (content, format) or None. Raises what says why it can't.
+Attachments = Callable[[str, str, str, "float | None"], "tuple[list[tuple[bytes, str]], tuple[bytes, str] | None]"]
+
+
 def enrich(
     rows: DataFrame, endpoints: Mapping[str, Endpoint], ask: str, transport: Transport = http, text_col: str = "prompt", modality_col: str = "modality", id_col: str = "path",
-    image_col: str | None = None, vision: bool = True,
+    attach: Attachments | None = None, vision: bool = True,
 ) -> DataFrame:
     """``id_col`` and the reply's fields for rows whose modality has an endpoint; for others llm_missing says so if any has one.
 
-    image_col: the MIME type of the image that the row's path leads to, or null; the task that asks reads it, one at a time, and
-    attaches it unless ``vision`` is false. A tag list that is one string counts as that tag.
+    attach: reads what goes with a request, for one row at a time, in the task that asks; rows then have type, mime and duration_s. Images are left out of
+    the request if ``vision`` is false. A tag list that is one string counts as that tag.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, modality, text, mime in pdf.itertuples(index=False):
-                ep = endpoints.get(modality)
+            for key, modality, text, kind, mime, duration in pdf.itertuples(index=False):
+                began, ep = time.monotonic(), endpoints.get(modality)
                 if ep is None:
-                    out.append((key, None, None, None, None, None, f"no endpoint configured for {modality}" if endpoints else None, None, 0))
+                    out.append((key, None, None, None, None, None, f"no endpoint configured for {modality}" if endpoints else None, None, 0, 0))
                     continue
-                images = []
-                if isinstance(mime, str):
+                images, sound = [], None
+                if attach is not None and isinstance(mime, str):
                     try:
-                        with open(key, "rb") as f:
-                            images.append((f.read(), mime))
-                    except OSError as e:
-                        out.append((key, None, None, None, None, None, None, f"read for vision: {e.strerror}", 0))
+                        images, sound = attach(key, kind, mime, None if pd.isna(duration) else float(duration))
+                    except (OSError, RuntimeError) as e:
+                        out.append((key, None, None, None, None, None, None, str(e), 0, 0))
                         continue
                 try:
-                    reply, error, n = analyse(ep, request_body(ep, ask, text or "", images, vision=vision), transport)
+                    reply, error, n = analyse(ep, request_body(ep, ask, text or "", images, sound, vision), transport)
                 except ValueError as e:  # over the inline cap
                     reply, error, n = None, str(e), 0
                 r = reply or {}
                 tags = clean(r.get("tags"))
                 tags = tags if isinstance(tags, list) else None if tags is None else [_text(tags)]
                 words = [_text(clean(r.get(k))) for k in ("description", "summary")]
-                out.append((key, tags, *words, ep.model if reply is not None else None, error, None, None, n))
+                out.append((key, tags, *words, ep.model if reply is not None else None, error, None, None, n, int(1000 * (time.monotonic() - began))))
             yield pd.DataFrame(out, columns=[id_col, *(x.split()[0] for x in _REPLY.split(", "))])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    image = F.col(image_col) if image_col else F.lit(None).cast("string")
-    return rows.select(id_col, modality_col, text_col, image.alias("image")).mapInPandas(run, f"{id_col} {kind}, {_REPLY}")
+    extra = [F.col(c).cast(k).alias(f"_{c}") if attach else F.lit(None).cast(k).alias(f"_{c}") for c, k in (("type", "string"), ("mime", "string"), ("duration_s", "double"))]
+    return rows.select(id_col, modality_col, text_col, *extra).mapInPandas(run, f"{id_col} {kind}, {_REPLY}")

@@ -66,21 +66,20 @@ def markdown_blocks(rows: DataFrame) -> DataFrame:
 def json_records(rows: DataFrame) -> DataFrame:
     """path and json: an object without its null fields; metadata is an object in it, other text there a string."""
     rows = as_records(rows)
-    return rows.select("path", _with_metadata(F.to_json(F.struct(*rows.columns))).alias("json"))
+    nested = F.coalesce(F.try_parse_json("metadata"), F.col("metadata").cast("variant")).alias("metadata")
+    return rows.select("path", F.to_json(F.struct(*(nested if c == "metadata" else F.col(c) for c in rows.columns))).alias("json"))
 
 
 @F.pandas_udf(T.StringType())
-def _with_metadata(records: pd.Series) -> pd.Series:
-    def unfolded(text: str) -> str:
-        record = json.loads(text)
-        if isinstance(record.get("metadata"), str):
-            try:
-                record["metadata"] = json.loads(record["metadata"])
-            except ValueError:
-                pass
-        return json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-    return records.map(unfolded)
+def _indented(records: pd.Series) -> pd.Series:
+    return records.map(lambda r: "  " + pretty(json.loads(r)).replace("\n", "\n  "))
+
+
+def document_blocks(rows: DataFrame, kind: str) -> DataFrame:
+    """path and block: the blocks of which ``ordered.write_document`` makes one document of that kind."""
+    if kind == "json":
+        return json_records(rows).select("path", _indented("json").alias("block"))
+    return (text_blocks if kind == "text" else markdown_blocks)(rows)
 
 
 def document(blocks: DataFrame, kind: str, single: bool = False) -> str:

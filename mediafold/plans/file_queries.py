@@ -1,27 +1,13 @@
-"""Queries over file headers, durations, signals and the mel scale; the inputs are short lists of cases or bytes of the tables."""
+"""Queries over file headers, sizes and durations; the bytes and numbers are the tables'."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from mediafold.functions.headers import image_dims, over_pixel_cap
-from mediafold.functions.mel import hz_to_mel, mel_to_hz
-from mediafold.functions.sniff import kind_of, mime_of, modality_of
-from mediafold.operators.dsp import BANDS, FFT, fit, log_mel, mel_bank, reflect_pad, resample
-from mediafold.sources.external import frame_times
-
-_HEADERS = """(VALUES (1, 'FFD8FFE0', 'image/jpeg'), (2, 'FFD8', 'image/jpeg'), (3, '89504E470D0A1A0A0000000D', 'image/png'), (4, '474946383961', 'image/gif'), (5, '424D', 'image/bmp'),
-(6, '664C6143', 'audio/flac'), (7, '4F676753', 'audio/ogg'), (8, '494433', 'audio/mpeg'), (9, 'FFFB9000', 'audio/mpeg'), (10, 'FFFE4100', 'audio/mpeg'), (11, 'FFE0', 'audio/mpeg'),
-(12, '524946460000000057415645', 'audio/wav'), (13, '524946460000000057454250', 'image/webp'), (14, '524946460000000041564920', 'video/avi'), (15, '5249464600000000574156', NULL),
-(16, '1A45DFA3', 'video/x-matroska'), (17, '49492A00', 'image/tiff'), (18, '4D4D002A', 'image/tiff'), (19, '00000018667479704D344120', 'audio/mp4'), (20, '000000186674797061766966', 'image/avif'),
-(21, '000000186674797068656963', 'image/heic'), (22, '000000186674797069736F6D', 'video/mp4'), (23, '68656C6C6F', NULL), (24, '', NULL), (25, 'FFC0', NULL), (26, '0000001866747970', NULL)) AS t(id, header, expected)"""
-
-
-def sniff_magic(spark, sf_dir):
-    mime = mime_of(F.unhex("header"))
-    return spark.sql(f"SELECT * FROM {_HEADERS}").select("id", mime.alias("mime"), kind_of(mime).alias("type"), modality_of(kind_of(mime)).alias("modality"))
+from mediafold.functions.headers import over_pixel_cap
+from mediafold.functions.sniff import kind_of, mime_of
+from mediafold.functions.text import short_sound
+from mediafold.operators.endpoint import over_inline_cap
 
 
 def sniff_documents(spark, sf_dir):
@@ -36,101 +22,28 @@ def sniff_documents(spark, sf_dir):
 _HEADS = ("FFD8FFE0", "424D", "664C6143", "494433", "524946460000000057415645", "1A45DFA3", "000000186674797061766966", "00")
 _MIMES = ("image/jpeg", "image/bmp", "audio/flac", "audio/mpeg", "audio/wav", "video/x-matroska", "image/avif", "none")
 
-_IMAGES = """(VALUES (1, '89504E470D0A1A0A0000000D49484452000000070000000B0806000000', 7, 11), (2, '524946460000000057454250565038580A000000000000007F0200DF0100', 640, 480),
-(3, '5249464600000000574542505650382000000000000000009D012A4001C800', 42, 2049), (4, '524946460000000057454250565038200000000000000000000040C1C8C0', 320, 200),
-(5, '5249464600000000574542505650384C000000002F63400C00000000', NULL, NULL), (6, '89504E47', NULL, NULL),
-(7, '5249464600000000574542505650384C000000002F63400C000000000000', 100, 50), (8, '89504E470D0A1A0A0000000D49444154000000070000000B', NULL, NULL), (9, '89504E47FFFFFFFF0000000D49484452000000070000000B', 7, 11)) AS t(id, header, w, h)"""
-
-
-def image_header_dims(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM {_IMAGES}").withColumn("d", image_dims(F.unhex("header")))
-    return rows.select("id", *(F.coalesce(F.col(f"d.{c}"), F.lit(-1).cast("long")).alias(c) for c in ("width", "height")))
-
 
 def pixel_cap(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     return rows.select("p_partkey", over_pixel_cap(F.col("p_size").cast("long"), F.lit(100).cast("long"), 2500).alias("error"))
 
 
-def frame_timestamps(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 10.0D), (2, 2.0D), (3, 0.0D), (4, NULL), (5, 7.777D)) AS t(id, d)")
-    return rows.select("id", F.posexplode(frame_times(F.col("d"), 4)).alias("i", "t"))
-
-
 def short_audio_gate(spark, sf_dir):
     """Events' values as durations: which sounds are too short for the tagger."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    d = F.col("value") / 100
-    return rows.select("event_id", ((d > 0) & (d < 0.35)).alias("short"))
+    return rows.select("event_id", short_sound(F.col("value") / 100).alias("short"))
 
 
 def inline_cap(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rows.select("doc_id", F.when(F.octet_length("text") > 4000, F.lit("over the inline cap")).alias("error"))
-
-
-def mel_scale(spark, sf_dir):
-    rows = spark.range(0, 15000, 250).select(F.col("id").cast("double").alias("hz"))
-    m = hz_to_mel(F.col("hz"))
-    return rows.select("hz", F.round(m, 6).alias("mel"), F.round(mel_to_hz(m), 6).alias("again"))
+    return rows.select("doc_id", F.when(over_inline_cap(F.octet_length("text"), "image", 4000).isNotNull(), F.lit("over the inline cap")).alias("error"))
 
 
-def mel_bank_sum(spark, sf_dir):
-    """The filter bank as a table (band, bin, weight), summed by band: the SQL builds it anew from the scale."""
-    bank = mel_bank()
-    band, k = np.nonzero(bank)
-    rows = spark.createDataFrame(pd.DataFrame({"band": band, "bin": k, "weight": bank[band, k]}))
-    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("bins"), F.round(F.sum("weight"), 8).alias("weight"))
-
-
-def log_mel_documents(spark, sf_dir):
-    """Each text's bytes as a sound of 48 kHz, fitted to ten seconds, and its spectrogram summed up. No SQL for it."""
-
-    @F.pandas_udf("frames int, bands int, mean double, most double")
-    def summary(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            x = (np.frombuffer((t or "").encode(), np.uint8).astype(np.float32) - 128) / 128
-            m = log_mel(fit(x))
-            out.append((*m.shape, float(m.mean()), float(m.max())))
-        return pd.DataFrame(out, columns=["frames", "bands", "mean", "most"])
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
-    rows = docs.select("doc_id", summary("text").alias("s"))
-    return rows.select("doc_id", "s.frames", "s.bands", F.round("s.mean", 4).alias("mean"), F.round("s.most", 4).alias("most"))
-
-
-def signal_helpers(spark, sf_dir):
-    """Lengths and ends of resampled, fitted and mirrored signals."""
-    x = np.arange(4410, dtype=np.float32)
-    rows = [
-        ("resample", len(resample(x, 44100)), 0.0), ("resample_same", len(resample(x, 48000)), 0.0), ("fit_crop", len(fit(np.arange(960000.0))), float(fit(np.arange(960000.0))[0])),
-        ("fit_tile", len(fit(np.arange(100.0))), float(fit(np.arange(100.0))[101])), ("reflect", len(reflect_pad(np.arange(1.0, 7.0), 2)), float(reflect_pad(np.arange(1.0, 7.0), 2)[0])),
-    ]
-    return spark.createDataFrame(rows, "what string, n int, first double")
-
-
-QUERIES = {
-    f.__name__: f
-    for f in (sniff_magic, sniff_documents, image_header_dims, pixel_cap, frame_timestamps, short_audio_gate, inline_cap, mel_scale, mel_bank_sum, log_mel_documents, signal_helpers)
-}
-
-_MEL = "CASE WHEN {0} >= 1000 THEN 15 + ln({0} / 1000.0) / (ln(6.4) / 27) ELSE {0} * 3 / 200.0 END"
-_HZ = "CASE WHEN {0} >= 15 THEN 1000 * exp(ln(6.4) / 27 * ({0} - 15)) ELSE {0} * 200 / 3.0 END"
-_LOW, _HIGH = _MEL.format("50.0"), _MEL.format("14000.0")
+QUERIES = {f.__name__: f for f in (sniff_documents, pixel_cap, short_audio_gate, inline_cap)}
 
 SQL = {
-    "sniff_magic": f"SELECT id, expected AS mime, split_part(expected, '/', 1) AS type, CASE split_part(expected, '/', 1) WHEN 'image' THEN 'vision' ELSE split_part(expected, '/', 1) END AS modality FROM {_HEADERS}",
     "sniff_documents": f"SELECT doc_id, mime, split_part(mime, '/', 1) AS type FROM (SELECT doc_id, {list(_MIMES)}[doc_id % {len(_MIMES)} + 1] AS mime FROM documents)",
-    "image_header_dims": f"SELECT id, coalesce(w, -1) AS width, coalesce(h, -1) AS height FROM {_IMAGES}",
     "pixel_cap": "SELECT p_partkey, CASE WHEN p_size * 100 > 2500 THEN 'image is ' || p_size || 'x100, over the cap of 2500 pixels' END AS error FROM part",
-    "frame_timestamps": "SELECT id, i, CASE WHEN d > 0 THEN round(d * (i + 0.5) / 4, 3) ELSE 0.0 END AS t FROM (VALUES (1, 10.0::DOUBLE), (2, 2.0), (3, 0.0), (4, NULL), (5, 7.777)) AS t(id, d), range(0, 4) AS r(i) WHERE d > 0 OR i = 0",
     "short_audio_gate": "SELECT event_id, value / 100 > 0 AND value / 100 < 0.35 AS short FROM events",
     "inline_cap": "SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN 'over the inline cap' END AS error FROM documents",
-    "mel_scale": f"SELECT i::DOUBLE AS hz, round({_MEL.format('i::DOUBLE')}, 6) AS mel, i::DOUBLE AS again FROM range(0, 15000, 250) AS r(i)",
-    "mel_bank_sum": f"""WITH e AS (SELECT i, {_HZ.format(f'(({_LOW}) + (({_HIGH}) - ({_LOW})) * i / {BANDS + 1}.0)')} AS hz FROM range(0, {BANDS + 2}) AS r(i)),
-b AS (SELECT k, k * 48000.0 / {FFT} AS f FROM range(0, {FFT // 2 + 1}) AS r(k)),
-w AS (SELECT x.i AS band, least((f - x.hz) / (y.hz - x.hz), (z.hz - f) / (z.hz - y.hz)) * 2 / (z.hz - x.hz) AS weight FROM e AS x JOIN e AS y ON y.i = x.i + 1 JOIN e AS z ON z.i = x.i + 2, b)
-SELECT band, count(*) AS bins, round(sum(weight), 8) AS weight FROM w WHERE weight > 0 GROUP BY band""",
-    "signal_helpers": "SELECT * FROM (VALUES ('resample', 4800, 0.0::DOUBLE), ('resample_same', 4410, 0.0), ('fit_crop', 480000, 240000.0), ('fit_tile', 480000, 1.0), ('reflect', 10, 3.0)) AS t(what, n, first)",
 }

@@ -107,7 +107,7 @@ def no_endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = local.withColumns({"modality": modality, "prompt": F.lit("p"), **{c: F.lit(None).cast("string") for c in ("description", "summary", "model", "llm_error", "error")}})
     endpoints = {m: Endpoint("u", "m") for m in MODALITIES[:2]}
     asked = enrich(rows, endpoints, "ask", lambda *_: (400, '{"error": {"message": "refused"}}'), id_col="vec_id")
-    out = merged(rows.join(asked.drop("llm_attempts"), "vec_id"))
+    out = merged(rows.join(asked.drop("llm_attempts", "llm_ms"), "vec_id"))
     return out.select("vec_id", F.array_join("tags", "|").alias("tags"), "llm_error", "error")
 
 

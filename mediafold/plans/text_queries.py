@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediafold.functions.metadata import exif_metadata, probe_metadata, short_values
-from mediafold.functions.text import chat_url, clean_tags, data_url, humanize, last_lines, missing_binary, path_order, sidecar_path, truncated
-from mediafold.operators.endpoint import precedence, read_reply
+from mediafold.functions.metadata import short_values
+from mediafold.functions.text import clean_tags, data_url, humanize, last_lines, path_order, sidecar_path, truncated
 from mediafold.operators.jsonspan import extract_json
 from mediafold.operators.merge import collapsed, first_error
 from mediafold.operators.render import json_records, markdown_blocks, text_blocks
-from mediafold.operators.vocabulary import cache_key_column, split_labels
 from mediafold.plans.tag_queries import human_sql
 
 
@@ -92,10 +90,14 @@ def _records(spark, sf_dir) -> DataFrame:
     return rows
 
 
+def record_rows(spark, sf_dir) -> DataFrame:
+    """A record for each part; every fiftieth is an error row."""
+    return collapsed(_records(spark, sf_dir)).withColumn("path", F.concat_ws("#", "path", "p_partkey"))
+
+
 def _rendered(blocks):
     def query(spark, sf_dir):
-        rows = collapsed(_records(spark, sf_dir)).withColumn("path", F.concat_ws("#", "path", "p_partkey"))
-        return blocks(rows)
+        return blocks(record_rows(spark, sf_dir))
 
     return query
 
@@ -111,71 +113,11 @@ def extract_json_span(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", extract_json(F.when(F.col("turn") % 3 != 1, reply).otherwise(F.col("text"))).alias("span"))
 
 
-_ENDPOINTS = """(VALUES (1, 'a', 'b', 'c', 'd'), (2, NULL, 'b', 'c', 'd'), (3, '', '', 'c', 'd'), (4, NULL, NULL, '', 'd/'), (5, NULL, '', NULL, NULL)) AS t(id, flag, env, common_flag, common_env)"""
-
-
-def endpoint_precedence(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM {_ENDPOINTS}")
-    url = precedence(*(F.col(c) for c in ("flag", "env", "common_flag", "common_env")))
-    return rows.select("id", url.alias("url"), chat_url(url).alias("chat"))
-
-
-_MESSAGES = """(VALUES (1, 'No such file or directory'), (2, 'ffprobe not found'), (3, 'broken header'), (4, 'x: is it installed?'), (5, NULL)) AS t(id, message)"""
-
-
-def missing_binaries(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {_MESSAGES}").select("id", missing_binary(F.col("message")).alias("missing"))
-
-
-_STATUSES = """(VALUES (1, 200, '{"choices":[{"message":{"content":"{\\"tags\\":[]}"}}]}'), (2, 503, 'busy'), (3, 400, '{"error":{"message":"bad model"}}'), (4, 429, '{}'), (5, 302, ''), (6, 200, 'plain')) AS t(id, status, body)"""
-
-
-def retry_policy(spark, sf_dir):
-    """Which answers are tried again. The six answers are the operator's own cases."""
-    cases = [(1, 200, '{"choices":[{"message":{"content":"{\\"tags\\":[]}"}}]}'), (2, 503, "busy"), (3, 400, '{"error":{"message":"bad model"}}'), (4, 429, "{}"), (5, 302, ""), (6, 200, "plain")]
-    rows = [(i, s, read_reply(s, b)[0] is not None, read_reply(s, b)[2]) for i, s, b in cases]
-    return spark.createDataFrame(rows, "id int, status int, accepted boolean, again boolean")
-
-
-_LABELS = """(VALUES (1, 'a, b ,c'), (2, ' ,,x'), (3, ''), (4, 'cat,dog ,  '), (5, NULL)) AS t(id, labels)"""
-
-
-def label_list_parse(spark, sf_dir):
-    labels = split_labels(F.col("labels"))
-    return spark.sql(f"SELECT * FROM {_LABELS}").select("id", F.array_join(labels, "|").alias("parsed"), F.coalesce(F.size(labels), F.lit(-1)).alias("n"))
-
-
-def label_cache_key(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM {_LABELS}").filter("labels IS NOT NULL")
-    return rows.select("id", cache_key_column(F.lit("tower.onnx"), F.split("labels", ",")).alias("key"))
-
-
-_PROBES = """(VALUES
-(1, '{"format":{"duration":"2.5","bit_rate":"900","format_name":"wav","tags":{"title":"x"}},"streams":[{"codec_type":"audio","codec_name":"pcm","sample_rate":"48000"}]}'),
-(2, '{"format":{"duration":"N/A"},"streams":[{"codec_type":"video","codec_name":"h264","width":128,"height":96,"avg_frame_rate":"10/1"},{"codec_type":"audio","codec_name":"aac","sample_rate":"x"}]}'),
-(3, '{}'), (4, 'broken')) AS t(id, raw)"""
-
-
-def probe_shape(spark, sf_dir):
-    m = probe_metadata(F.col("raw"))
-    rows = spark.sql(f"SELECT * FROM {_PROBES}").withColumn("m", m)
-    numbers = (F.coalesce(F.col(f"m.{c}"), F.lit(-1).cast("long")).alias(c) for c in ("bitrate", "width", "height", "sample_rate"))
-    return rows.select("id", "m.duration_s", "m.container", "m.codec", "m.fps", "m.audio_codec", *numbers)
-
-
-_EXIFS = """(VALUES (1, '[{"SourceFile":"a","ExifTool":"1","ImageWidth":"64","ImageHeight":"48","Make":"m"}]'), (2, '[{"ImageWidth":"-1","Model":"z"}]'), (3, '[]')) AS t(id, raw)"""
-
-
-def exif_shape(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM {_EXIFS}").withColumn("m", exif_metadata(F.col("raw")))
-    return rows.select("id", *(F.coalesce(F.col(f"m.{c}"), F.lit(-1).cast("long")).alias(c) for c in ("width", "height")), F.array_join(F.sort_array(F.map_keys("m.exif")), ",").alias("fields"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         humanize_part_names, humanize_customer_names, humanize_urls, content_sha256, duplicate_content, props_extract, long_string_filter, truncate_error, clean_fields, data_urls,
-        sidecar_names, stderr_tail, component_sort, strict_exit, extract_json_span, endpoint_precedence, missing_binaries, retry_policy, label_list_parse, label_cache_key, probe_shape, exif_shape,
+        sidecar_names, stderr_tail, component_sort, strict_exit, extract_json_span,
     )
 } | {"render_text": _rendered(text_blocks), "render_markdown": _rendered(markdown_blocks), "render_json": _rendered(json_records)}
 
@@ -204,16 +146,10 @@ SQL = {
     "component_sort": "SELECT page_id, replace(url, '/', '|') AS components FROM pages",
     "strict_exit": "SELECT path, 'unreadable' AS error FROM (SELECT 'parts/' || p_name || '/' || lpad(p_partkey::VARCHAR, 9, '0') AS path FROM part WHERE p_partkey % 50 = 0) ORDER BY string_split(path, '/') LIMIT 1",
     "extract_json_span": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN to_json({'role': role, 'text': text})::VARCHAR END AS span FROM conversations",
-    "endpoint_precedence": f"""SELECT id, url, rtrim(url, '/') || '/chat/completions' AS chat FROM (SELECT id, coalesce(nullif(flag, ''), nullif(env, ''), nullif(common_flag, ''), nullif(common_env, '')) AS url FROM {_ENDPOINTS})""",
-    "missing_binaries": f"SELECT id, regexp_matches(message, 'No such file|not found|is it installed') AS missing FROM {_MESSAGES}",
-    "retry_policy": "SELECT * FROM (VALUES (1, 200, true, false), (2, 503, false, true), (3, 400, false, false), (4, 429, false, true), (5, 302, false, true), (6, 200, false, true)) AS t(id, status, accepted, again)",
-    "label_list_parse": f"SELECT id, array_to_string(l, '|') AS parsed, coalesce(len(l), -1) AS n FROM (SELECT id, list_filter(list_transform(string_split(labels, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM {_LABELS})",
-    "label_cache_key": f"SELECT id, left(sha256('tower.onnx' || array_to_string(string_split(labels, ','), chr(0)) || chr(0)), 16) AS key FROM {_LABELS} WHERE labels IS NOT NULL",
-    "probe_shape": """SELECT * FROM (VALUES (1, 2.5::DOUBLE, 900::BIGINT, 'wav', NULL, -1::BIGINT, -1::BIGINT, NULL, 'pcm', 48000::BIGINT), (2, NULL, -1, NULL, 'h264', 128, 96, '10/1', 'aac', 0),
-(3, NULL, -1, NULL, NULL, -1, -1, NULL, NULL, -1), (4, NULL, -1, NULL, NULL, -1, -1, NULL, NULL, -1)) AS t(id, duration_s, bitrate, container, codec, width, height, fps, audio_codec, sample_rate)""",
-    "exif_shape": "SELECT * FROM (VALUES (1, 64::BIGINT, 48::BIGINT, 'Make'), (2, -1, -1, 'Model'), (3, -1, -1, NULL)) AS t(id, width, height, fields)",
     "render_text": f"SELECT path, rtrim('== ' || path || E' ==\\n' || {_LINES}, E'\\n') AS block FROM {_RECORD}",
     "render_markdown": f"SELECT path, '## ' || path || E'\\n' || {_LINES} || E'\\n' AS block FROM {_RECORD}",
     "render_json": f"""SELECT path, CASE WHEN bad THEN '{{"error":"unreadable","path":"' || path || '"}}' ELSE '{{"bytes":' || bytes || ',"description":"' || description || '"' || coalesce(',"metadata":{{"exif":{{"make":"' || p_brand || '"}},"width":' || width || '}}', '') || ',"path":"' || path || '"'
 || coalesce(CASE WHEN tags IS NOT NULL THEN ',"tags":["' || p_brand || '","' || p_type || '"]' END, '') || ',"type":"image"}}' END AS json FROM {_RECORD}""",
 }
+
+RENDER_SQL = {kind: SQL[f"render_{kind}"] for kind in ("text", "markdown", "json")}
