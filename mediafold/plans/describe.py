@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediafold.functions.headers import image_dims
 from mediafold.functions.sniff import modality_of
-from mediafold.functions.text import confidence, describe_name, describe_tags
-from mediafold.operators.dsp import audio_tensors
-from mediafold.operators.embed import Provider, embedded
+from mediafold.functions.text import confidence, describe_name, describe_tags, short_sound
 from mediafold.operators.endpoint import Endpoint, Transport, enrich, http
-from mediafold.operators.imageprep import image_tensors
 from mediafold.operators.merge import as_records, merged
 from mediafold.operators.render import pretty
-from mediafold.operators.zeroshot import AUDIO, IMAGE, Gate, zero_shot_arrow
-from mediafold.sources.listing import contents, local_files, with_kind
+from mediafold.operators.taggers import Tagger
+from mediafold.sources.listing import local_files, with_kind
+from mediafold.sources.media import MIN_SECONDS, Attach, Programs, lean_json, tagged, with_facts
 
 ASK = 'Describe this file. Answer with one JSON object: {"tags": [...], "description": "...", "summary": "..."}'
 
 
-@dataclass(frozen=True)
-class Tagger:
-    labels: list[str]
-    matrix: np.ndarray
-    provider: Provider
-    gate: Gate
-    name: str
-
-
 @dataclass(frozen=True)
 class Settings:
     image_tagger: Tagger | None = None
@@ -44,62 +30,49 @@ class Settings:
     ask: str = ASK
     transport: Transport = http
     vision: bool = True
+    audio: bool = False
+    frames: int = 4
+    min_seconds: float = MIN_SECONDS
+    programs: Programs = Programs()
+    tasks: int | None = None
 
 
 @F.pandas_udf(T.StringType())
 def _prompt_metadata(texts: pd.Series) -> pd.Series:
-    """Pretty JSON without the container's own tags, which would crowd out the medium."""
-
-    def lean(text: str | None) -> str:
-        value = json.loads(text) if isinstance(text, str) else {}
-        return pretty({k: v for k, v in value.items() if k != "format_tags"})
-
-    return texts.map(lean)
+    return texts.map(lambda text: pretty(lean_json(text)))
 
 
 def prompt_text(kind: Column, metadata: Column) -> Column:
-    """What the endpoint is told of a file. No frames are cut from videos here, so none are announced."""
-    return F.concat(F.initcap(kind), F.lit(" file.\nMetadata:\n"), _prompt_metadata(metadata))
-
-
-def preset(kind: str) -> Gate:
-    return {"image": IMAGE, "audio": AUDIO}[kind]
-
-
-def _tagged(files: DataFrame, tagger: Tagger, kind: str, error_col: str) -> DataFrame:
-    """path, tags (names), confidence and error of the files of a kind."""
-    tensors = (image_tensors if kind == "image" else audio_tensors)(contents(files.filter(F.col("type") == kind)))
-    vectors = embedded(tensors, tagger.provider)
-    tags = zero_shot_arrow(vectors, tagger.labels, tagger.matrix, tagger.gate, "path")
-    found = tensors.select("path", F.col("error").alias("decode_error")).join(vectors.select("path", "error"), "path").join(tags, "path")
-    failed = F.coalesce("decode_error", "error")
-    return found.select(
-        "path", F.transform("tags", lambda t: t["lid"]).alias("found"), confidence(F.col("tags")[0]["s"]).alias("score"), failed.alias(error_col), F.lit(tagger.name).alias("tagger"),
-    )
+    """What the endpoint is told of a file."""
+    what = F.when(kind == "video", F.lit("Video (sample frames attached)")).otherwise(F.concat(F.initcap(kind), F.lit(" file")))
+    return F.concat(what, F.lit(".\nMetadata:\n"), _prompt_metadata(metadata))
 
 
 def describe(spark: SparkSession, paths: list[str], settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Records of the files, in no order. Each path once: a path is the key of its record."""
-    files = with_kind(local_files(spark, sorted(set(paths))))
-    dims = image_dims(F.col("header"))
-    files = files.withColumn("metadata", F.when((F.col("type") == "image") & dims.isNotNull(), F.to_json(dims)))
-    files = files.withColumn("modality", modality_of(F.col("type")))
+    files = with_kind(local_files(spark, sorted(set(paths)), settings.tasks))
+    files = with_facts(files, settings.programs).withColumn("modality", modality_of(F.col("type")))
     empty = {"tags": "array<string>", "description": "string", "summary": "string", "model": "string", "tag_confidence": "double", "clip_error": "string", "clap_error": "string", "llm_error": "string"}
-    rows = files.withColumns({c: F.lit(None).cast(k) for c, k in empty.items()})
+    rows = files.withColumns({c: F.lit(None).cast(k) for c, k in empty.items()}).withColumn("duration_ms", F.coalesce("probe_ms", F.lit(0)))
     covered = F.col("modality").isin(*settings.endpoints) if settings.endpoints else F.lit(False)
-    for kind, tagger, error_col in (("image", settings.image_tagger, "clip_error"), ("audio", settings.audio_tagger, "clap_error")):
+    short = short_sound(F.col("duration_s"), settings.min_seconds)
+    # images and videos go to the image tagger, sounds to the other
+    for audio, tagger, error_col in ((False, settings.image_tagger, "clip_error"), (True, settings.audio_tagger, "clap_error")):
         if tagger is None:
             continue
-        own = (F.col("type") == kind) & F.col("error").isNull()
-        rows = rows.drop(error_col).join(_tagged(files, tagger, kind, error_col), "path", "left")
-        plain = describe_name(F.col("path"))
+        own = ((F.col("type") == "audio") == audio) & F.col("error").isNull()
+        found = tagged(files.filter(own), tagger.provider, tagger.labels, tagger.matrix, tagger.gate, settings.min_seconds, settings.programs)
+        rows = rows.join(found, "path", "left")
+        plain = describe_name(F.col("path"), short if audio else None)
         rows = rows.withColumns({
             "description": F.when(own, F.when(F.col("found").isNotNull(), describe_tags(F.col("found"))).otherwise(plain)).otherwise(F.col("description")),
-            "tags": F.coalesce("found", "tags"), "tag_confidence": F.coalesce("score", "tag_confidence"),
-            "model": F.when(own & F.col(error_col).isNull() & ~covered, F.col("tagger")).otherwise(F.col("model")),
-        }).drop("found", "score", "tagger")
+            "tags": F.coalesce("found", "tags"), "tag_confidence": F.coalesce(confidence(F.col("score")), "tag_confidence"), error_col: F.coalesce("failure", error_col),
+            "model": F.when(own & F.col("failure").isNull() & ~covered, F.lit(tagger.name)).otherwise(F.col("model")), "duration_ms": F.col("duration_ms") + F.coalesce("tag_ms", F.lit(0)),
+        }).drop("found", "score", "failure", "tag_ms")
     if settings.endpoints:
-        told = rows.filter("error IS NULL").withColumns({"prompt": prompt_text(F.col("type"), F.col("metadata")), "image": F.when(F.col("type") == "image", F.col("mime"))})
-        asked = enrich(told, settings.endpoints, settings.ask, settings.transport, image_col="image", vision=settings.vision)
-        rows = merged(rows.join(asked.drop("llm_attempts"), "path", "left"))
-    return as_records(rows)
+        told = rows.filter("error IS NULL").withColumn("prompt", prompt_text(F.col("type"), F.col("metadata")))
+        asked = enrich(told, settings.endpoints, settings.ask, settings.transport, attach=Attach(settings.frames, settings.audio, settings.programs), vision=settings.vision)
+        rows = merged(rows.join(asked.drop("llm_attempts"), "path", "left")).withColumn("duration_ms", F.when(F.col("error").isNull(), F.col("duration_ms") + F.coalesce("llm_ms", F.lit(0))))
+    kept = F.col("error").isNull()
+    facts = ("metadata", "mime", "type", "bytes", "mtime", "sha256", "duration_ms", "tags", "description", "summary", "model", "tag_confidence", "clip_error", "clap_error", "llm_error")
+    return as_records(rows.withColumns({c: F.when(kept, F.col(c)) for c in facts}))
