@@ -28,15 +28,17 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediafold.llm._common import new_path, table
 from mediafold.llm.token_memo import packed_encoder
+from mediafold.operators.ordered import totals_before
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
+MOST_PARTS = 1 << 18  # rows of 16 bytes that are broadcast at most
 MIN_USES = 4  # a rule costs about three symbols
 ROWS = 128
 _HEAD = struct.Struct("<4s6Q")
@@ -270,10 +272,11 @@ def _read(digests: bool):
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", digests: bool = False) -> DataFrame:
     """One row per document: ``id_col``, start, n_tokens and its ids, or with ``digests`` their CRC-32."""
     shards = spark.read.parquet(path)
-    # one row per task that wrote: as few as there are partitions
-    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    rows = shards.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("start_in_part")).alias("base"), "payload", "doc_ids")
+    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a task that wrote
+    parts = (totals.agg(F.max("part")).first()[0] or 0) + 1
+    starts = totals_before(totals, parts, ["n"]).select("part", F.col("n_before").alias("part_start"))
+    starts = F.broadcast(starts) if parts <= MOST_PARTS else starts
+    rows = shards.join(starts, "part").select((F.col("part_start") + F.col("start_in_part")).alias("base"), "payload", "doc_ids")
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     made = "ids_crc32 long" if digests else "ids array<int>"
     return rows.mapInArrow(_read(digests), f"id {kind}, start long, n_tokens long, {made}").withColumnRenamed("id", id_col)
