@@ -167,6 +167,24 @@ def analyse(ep: Endpoint, body: dict, transport: Transport = http, sleep: Callab
     return reply, last.error, last.attempt
 
 
+def bodies(rows: DataFrame, ep: Endpoint, ask: str, text_col: str, content_col: str, mime_col: str, vision: bool = True) -> DataFrame:
+    """rows with body, the JSON of the request with the text and, as its MIME type says, an image, a sound or nothing attached; and body_error, why there is none."""
+
+    @F.pandas_udf("body string, body_error string")
+    def made(texts: pd.Series, contents: pd.Series, mimes: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, content, mime in zip(texts, contents, mimes, strict=True):
+            kind = mime.split("/")[0] if isinstance(mime, str) else ""
+            try:
+                body = request_body(ep, ask, text or "", [(content, mime)] if kind == "image" else [], (content, mime.split("/")[1]) if kind == "audio" else None, vision)
+                out.append((json.dumps(body, ensure_ascii=False), None))
+            except ValueError as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["body", "body_error"])
+
+    return rows.withColumn("_made", made(text_col, content_col, mime_col)).select(*(F.col(f"`{c}`") for c in rows.columns), "_made.body", "_made.body_error")
+
+
 REPLIES = "array<struct<status:int,body:string>>"
 LOG = "array<struct<attempt:int,status:int,error:string,wait_ms:int>>"
 

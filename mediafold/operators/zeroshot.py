@@ -7,7 +7,7 @@ goes to every task, and sorting, gate and cut are array functions. So nothing is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +74,11 @@ def accepted(gate: Gate) -> Column:
     return (F.col("top") >= gate.hi) | ((F.col("top") >= gate.lo) & (F.col("top") - F.col("second") >= gate.margin))
 
 
+def shown_scores(ranking: Column, names: Callable[[Column], Column], n: int = 6) -> Column:
+    """The best labels with their scores, for a look at a gate: "label=0.123 ..."."""
+    return F.array_join(F.transform(F.slice(ranking, 1, n), lambda r: F.concat(names(r["lid"]), F.lit("="), F.format_string("%.3f", r["s"]))), " ")
+
+
 def zero_shot(rows: DataFrame, vocab: DataFrame, gate: Gate, vec_col: str = "embedding") -> DataFrame:
     """rows with ``tags``: array<struct<s, lid>>, best first, null where the gate is shut; and ``confidence``, the best score."""
     out = scored(rows, vocab, vec_col)

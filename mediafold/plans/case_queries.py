@@ -10,9 +10,10 @@ from mediafold.functions.mel import hz_to_mel, mel_to_hz
 from mediafold.functions.metadata import exif_metadata, probe_metadata
 from mediafold.functions.sniff import kind_of, mime_of, modality_of
 from mediafold.functions.text import chat_url, describe_name, missing_binary, path_order, short_sound
-from mediafold.operators.endpoint import over_inline_cap, precedence, replayed
+from mediafold.operators.endpoint import Endpoint, bodies, over_inline_cap, precedence, replayed
 from mediafold.operators.ordered import laid_out
 from mediafold.operators.vocabulary import cache_key_column, split_labels
+from mediafold.plans.describe import prompt_text
 from mediafold.plans.tag_queries import human_sql
 from mediafold.sources.external import frame_times
 
@@ -159,11 +160,36 @@ def retry_conversations(spark, sf_dir):
     return found.select("conv_id", F.size("log").cast("long").alias("attempts"), joined("status").alias("statuses"), joined("wait_ms").alias("waits"), F.get_json_object("reply", "$.tags[0]").alias("tag"), F.col("log")[F.size("log") - 1]["error"].alias("error"))
 
 
+_CAP = 3000
+
+
+def request_bodies(spark, sf_dir):
+    """Each text as the content of an image, a sound or nothing that goes with the request, under a cap of 3000 bytes: what the request holds."""
+    kind = _pick(["image/png", "audio/mp3", "none"], F.col("doc_id"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(50)).alias("said"), F.col("text").cast("binary").alias("content"), F.nullif(kind, F.lit("none")).alias("mime"))
+    made = bodies(rows, Endpoint("http://x/v1", "m", inline_cap=_CAP), "Ask.", "said", "content", "mime")
+    at = lambda path: F.get_json_object("body", path)
+    parts = F.col("mime").isNotNull()
+    said, url = F.when(parts, at("$.messages[1].content[0].text")).otherwise(at("$.messages[1].content")), at("$.messages[1].content[1].image_url.url")
+    return made.select(
+        "doc_id", at("$.model").alias("model"), at("$.max_tokens").cast("long").alias("max_tokens"), at("$.messages[0].content").alias("ask"), said.alias("said"), F.sha2(url, 256).alias("url_sha256"),
+        at("$.messages[1].content[1].input_audio.format").alias("format"), F.sha2(at("$.messages[1].content[1].input_audio.data"), 256).alias("sound_sha256"), F.col("body_error").alias("error"),
+    )
+
+
+def prompt_texts(spark, sf_dir):
+    """What the endpoint is told of each event as a file: its kind and its probe's facts, without the container's own tags."""
+    m = F.col("event_id")
+    raw = F.concat(F.lit('{"format":{"duration":"'), (m % 900).cast("string"), F.lit('.5","format_name":"'), F.col("event_type"), F.lit('","tags":'), F.col("props"), F.lit('}}'))
+    rows = _table(spark, sf_dir, "events").select("event_id", _pick(["image", "video", "audio"], m).alias("kind"), F.to_json(probe_metadata(raw)).alias("metadata"))
+    return rows.select("event_id", prompt_text(F.col("kind"), F.col("metadata")).alias("prompt"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sniff_all_kinds, image_dims_parts, frame_times_events, mel_scale_events, probe_events, exif_events, endpoint_precedence_customers, missing_binary_documents, label_lists_documents, short_sounds,
-        inline_cap_documents, component_order, retry_conversations,
+        inline_cap_documents, component_order, retry_conversations, request_bodies, prompt_texts,
     )
 }
 
@@ -210,4 +236,10 @@ SELECT conv_id, count(*) AS attempts, string_agg(status, ',' ORDER BY a) AS stat
        max(CASE WHEN good = 1 THEN 'assistant' END) AS tag,
        max(CASE WHEN a = final AND good = 0 THEN CASE WHEN status <> 200 THEN 'HTTP ' || status || ': busy' ELSE 'no JSON object in the reply: ' || CASE WHEN length(text) > 200 THEN left(translate(text, '{{}}', '()'), 200) || '…' ELSE translate(text, '{{}}', '()') END END END) AS error
 FROM l GROUP BY conv_id""",
+    "request_bodies": f"""WITH d AS (SELECT doc_id, text, ['image/png', 'audio/mp3', NULL][doc_id % 3 + 1] AS mime, strlen(text) AS n FROM documents),
+e AS (SELECT *, CASE WHEN mime IS NOT NULL AND n > {_CAP} THEN split_part(mime, '/', 1) || ' of ' || n || ' bytes is over the inline cap of {_CAP}' END AS error FROM d)
+SELECT doc_id, CASE WHEN error IS NULL THEN 'm' END AS model, CASE WHEN error IS NULL THEN 4096 END AS max_tokens, CASE WHEN error IS NULL THEN 'Ask.' END AS ask, CASE WHEN error IS NULL THEN left(text, 50) END AS said,
+       CASE WHEN error IS NULL AND mime = 'image/png' THEN sha256('data:image/png;base64,' || base64(encode(text))) END AS url_sha256, CASE WHEN error IS NULL AND mime = 'audio/mp3' THEN 'mp3' END AS format,
+       CASE WHEN error IS NULL AND mime = 'audio/mp3' THEN sha256(base64(encode(text))) END AS sound_sha256, error FROM e""",
+    "prompt_texts": """SELECT event_id, ['Image file', 'Video (sample frames attached)', 'Audio file'][event_id % 3 + 1] || E'.\nMetadata:\n{\n  "container": "' || event_type || E'",\n  "duration_s": ' || (event_id % 900) || E'.5\n}' AS prompt FROM events""",
 }

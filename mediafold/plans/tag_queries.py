@@ -9,7 +9,7 @@ from mediafold.functions.text import confidence, describe_tags, humanize
 from mediafold.operators.endpoint import MODALITIES, Endpoint, enrich
 from mediafold.operators.merge import merged
 from mediafold.operators.vocabulary import centred, first_vectors, norm, unit
-from mediafold.operators.zeroshot import AUDIO, HYBRID, IMAGE, LOOSE, Gate, accepted, scored, valid_norm, zero_shot
+from mediafold.operators.zeroshot import AUDIO, HYBRID, IMAGE, LOOSE, Gate, accepted, scored, shown_scores, valid_norm, zero_shot
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("vec_id", accepted(IMAGE).alias("tagged"), F.round("top", 6).alias("best"), F.round("second", 6).alias("next_best"))
 
 
+def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six best labels of each vector, to be shown with their scores."""
+    return _scored(spark, sf_dir).select("vec_id", shown_scores(F.col("ranking"), lambda lid: F.concat(F.lit("label "), lid.cast("string"))).alias("scores"))
+
+
 def l2_norm_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also with every tenth vector set to zero and every eleventh made infinite."""
     rows = _embeddings(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -121,7 +126,7 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "zero_shot_tags": _tags(IMAGE), "zero_shot_audio_preset": _tags(AUDIO), "zero_shot_hybrid_preset": _tags(HYBRID), "zero_shot_loose_preset": _tags(LOOSE),
-    **{f.__name__: f for f in (cosine_scores, label_topk, gate_decision, l2_norm_guard, vocab_center_normalize, vocab_unit_vectors, tag_description, gated_fallback_description, merge_local_llm, no_endpoint_rows, coverage_report)},
+    **{f.__name__: f for f in (cosine_scores, label_topk, gate_decision, score_lines, l2_norm_guard, vocab_center_normalize, vocab_unit_vectors, tag_description, gated_fallback_description, merge_local_llm, no_endpoint_rows, coverage_report)},
 }
 
 _VOCAB = """
@@ -159,6 +164,7 @@ SQL = {
     "cosine_scores": f"{_VOCAB} SELECT vec_id, lid, round(s, 6) AS s FROM s",
     "label_topk": f"{_VOCAB} SELECT vec_id, rk, lid FROM k WHERE rk <= 3",
     "gate_decision": f"{_VOCAB} SELECT vec_id, best >= {IMAGE.hi} OR (best >= {IMAGE.lo} AND best - nxt >= {IMAGE.margin}) AS tagged, round(best, 6) AS best, round(nxt, 6) AS next_best FROM g WHERE rk = 1",
+    "score_lines": f"{_VOCAB} SELECT vec_id, string_agg('label ' || lid || '=' || printf('%.3f', s), ' ' ORDER BY rk) AS scores FROM k WHERE rk <= 6 GROUP BY vec_id",
     "l2_norm_guard": """
 WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (CASE WHEN vec_id % 10 = 0 THEN 0.0 WHEN vec_id % 11 = 0 THEN 1e200 ELSE 1.0 END)) AS v FROM embeddings),
 y AS (SELECT vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM x)
