@@ -110,6 +110,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, load:
         min_seconds=number(os.environ, f"{PREFIX}_MIN_SECONDS", MIN_SECONDS), tasks=args.concurrency and min(max(args.concurrency, 1), len(paths)),
     )
     rows = describe(spark, paths, settings).persist()
+    if not args.quiet:
+        known = {r["path"] for r in rows.select("path").toLocalIterator()}
+        for path in paths:
+            if path not in known:
+                say(f"skipped: {path}")
     if args.sidecar:
         say(f"{write_sidecars(rows)} sidecars")
     form = args.format or ("text" if sys.stdout.isatty() else "json")

@@ -99,19 +99,3 @@ def with_kind(files: DataFrame) -> DataFrame:
 
 def skipped(files: DataFrame) -> DataFrame:
     return files.filter(mime_of(F.col("header")).isNull()).select("path")
-
-
-def contents(files: DataFrame) -> DataFrame:
-    """path and content of files that all executors can open; null where reading fails."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                try:
-                    with open(path, "rb") as f:
-                        data = f.read()
-                except OSError:
-                    data = None
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], ["path", "content"])
-
-    return files.select("path").mapInArrow(run, "path string, content binary")

@@ -135,6 +135,8 @@ def test_command_line(spark, tree, capsys, tmp_path):
         plain = lambda t: re.sub(r'"?duration_ms"?: \d+', "", t).strip()
         assert plain((tmp_path / "document").read_text()) == plain(printed)
         os.remove(tmp_path / "document")
+    assert cli.main(["--no-llm", "--json", str(tree)], spark) == 0
+    assert [os.path.relpath(x.removeprefix("skipped: "), tree) for x in capsys.readouterr().err.splitlines() if x.startswith("skipped: ")] == ["_empty", "notes.txt"]
     assert cli.main(["--doctor"]) == 0 and "ffmpeg" in capsys.readouterr().out
 
 
@@ -237,8 +239,6 @@ def test_programs(spark):
     with pytest.raises(external.ProgramError) as e:
         external.run_program(["sh", "-c", "for i in 1 2 3 4 5 6 7; do echo line$i >&2; done; exit 3"], 5)
     assert "line7" in str(e.value) and "line2" not in str(e.value)
-    rows = external.probe_json(spark.createDataFrame([("x",)], "path string"), ["echo", "{}"]).collect()
-    assert rows[0].raw == "{} x\n" and rows[0].error is None
 
 
 def test_stream_appends_each_file_once(spark, tree, tmp_path_factory):
