@@ -317,6 +317,33 @@ def test_chain_feeds_earlier_odds_to_later_models():
     assert w[toxicity_chain.FEATURES] > 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_reaches_newton_s_optimum(seed):
+    rng = np.random.default_rng(seed)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 12))) for _ in range(150)]
+    earlier = rng.random((150, seed % 3))
+    y = (np.array([len(r) for r in rows]) + 6 * earlier.sum(axis=1) + rng.normal(size=150) * 3 > 7).astype(float)
+    dense = np.zeros((150, 60))
+    for at, r in enumerate(rows):
+        dense[at, r] = 1
+    good, df = (dense * y[:, None]).sum(axis=0), dense.sum(axis=0)
+    ratio = np.log((good + 1) / (y.sum() + 1)) - np.log((df - good + 1) / (150 - y.sum() + 1))
+    x = np.column_stack([dense * ratio * (df >= 2), earlier, np.ones(150)])
+    penalty = np.diag([toxicity_chain.L2] * (x.shape[1] - 1) + [0.0])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):  # Newton's method, with all second derivatives
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (p - y) + penalty @ w)
+    got = toxicity_chain.Linear.fit(rows, earlier, y)
+    found = np.array([toxicity_chain.Linear.probability(got, r, e) for r, e in zip(rows, earlier, strict=True)])
+    own = np.where(ratio * (df >= 2) != 0, got[:60] / np.where(ratio == 0, 1, ratio), 0)  # of the scaled features
+    v = np.concatenate([own, got[toxicity_chain.FEATURES :]])
+    value = lambda z, u: np.logaddexp(0, z).sum() - y @ z + (penalty @ u) @ u / 2
+    best = value(x @ w, w)
+    assert best - 1e-6 <= value(x @ v, v) < 1.001 * best  # it stops where a step gains a ten-thousandth
+    assert np.abs(found - 1 / (1 + np.exp(-x @ w))).max() < 0.05
+
+
 def plain_features(text):
     words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
     number = lambda x, level: int(toxicity_chain._numbers(np.array([x], np.uint32), level)[0])
