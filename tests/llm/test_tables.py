@@ -402,5 +402,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_all_numbers_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 14))
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
