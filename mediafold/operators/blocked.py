@@ -1,11 +1,14 @@
 """Zero-shot tags for vocabularies of any size: blocks of labels against blocks of rows, as matrix products.
 
-A vocabulary that doesn't fit into one broadcast row is dealt out to label blocks, and the rows to row blocks. A cell has one of each: its labels come first
-and make a matrix, then its rows come, some at a time. Of a cell each row keeps its ``k`` best labels; what the cells found is merged by
-row, which is exact: the best ``k`` of all are among the best of their blocks, and so are the best and the second best score that the gate needs.
-The products choose candidates, with a margin for rounding; their scores are then summed in one fixed order, so the blocks' sizes and places change nothing.
+A vocabulary that doesn't fit into one broadcast row is dealt out to cells, and so are the rows. A cell has one part of each: its labels come first
+and make a matrix, then its rows come, some at a time, and meet the labels block by block. Of a cell each row keeps its ``k`` best labels; what the cells found is merged by
+row, which is exact: the best ``k`` of all are among the best of their cells, and so are the best and the second best score that the gate needs.
+The products are of single precision and choose candidates, with a margin for rounding: those that may be among the best ``k`` of the blocks so far. Their scores are then summed in
+double precision in one fixed order, so the sizes and places of blocks and cells change nothing.
 
-Rows are repeated once a label block and labels once a row block: with b blocks of labels and a of rows, a x b cells, none larger than its two blocks.
+Rows are repeated once a part of the labels and labels once a part of the rows. A cell is a task. A part of the labels has at most ``CELL_BYTES`` as a matrix and one of the rows
+``CELL_ROWS``; only where these would make fewer cells than tasks can run, they are smaller. So b parts of labels and a of rows make a x b tasks, and the copies, a + b times a table, stay few
+beside the a x b products. Blocks are what one product takes at most.
 
 Defined cases: a vector without a direction has no ranking (null), one of another length than the labels' an empty one; ties are in label order; equal rows are ranked each for itself;
 without labels every ranking is empty; labels without a vector, shorter than the longest or whose vector has no direction are left out; other columns of the rows are passed on.
@@ -24,9 +27,10 @@ from mediafold.operators.vocabulary import norm
 from mediafold.operators.zeroshot import SMALLEST, Gate, accepted, valid_norm
 
 LABEL_BLOCK = 4096
-ROW_BLOCK = 65_536
-ROWS = 1024
-_MARGIN = 1e-9
+ROW_BLOCK = 1024
+CELL_BYTES = 32 << 20
+CELL_ROWS = 65_536
+LEAST = 4096  # labels or rows of a part, where parts are made smaller for more tasks
 
 FOUND = "row long, payload {payload}, ranking array<struct<negative:double,rank:long>>"
 
@@ -43,24 +47,63 @@ def _vectors(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.n
     return out, fine
 
 
-def _best(x: np.ndarray, labels: np.ndarray, ranks: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For each row of x the k best labels: (score, rank), ties by rank. x and labels are unit vectors, labels in the order of their ranks."""
-    k = min(k, len(labels))
-    if not k:
-        return [[] for _ in x]
-    s = x @ labels.T
-    least = np.partition(s, len(labels) - k, axis=1)[:, len(labels) - k]
-    row, label = np.nonzero(s >= least[:, None] - _MARGIN)
-    score = np.empty(len(row))
+def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length 1 and which have a direction; the squares are summed in one fixed order."""
+    with np.errstate(all="ignore"):
+        n = np.sqrt(np.cumsum(vectors * vectors, axis=1)[:, -1]) if vectors.shape[1] else np.zeros(len(vectors))
+        fine = (n >= SMALLEST) & (n < np.inf)
+        return np.where(fine[:, None], vectors / n[:, None], 0.0), fine
+
+
+def _first(row: np.ndarray, k: int) -> np.ndarray:
+    """Which places are among the first k of their row; row: in ascending order."""
+    return np.arange(len(row)) - np.searchsorted(row, row) < k
+
+
+def _best(x: np.ndarray, labels: np.ndarray, single: np.ndarray, k: int, label_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of x the k best labels, or all if there are fewer: (row, label, score), by row, best first, ties by label. single: labels in single precision.
+
+    A score in single precision is off by less than half the margin, so a label whose score is less than the k-th best by the margin isn't among the best.
+    """
+    x32, margin = x.astype(np.float32), np.float32((x.shape[1] + 8) * 2.0**-22)
+    top = np.full((len(x), k), -np.inf, np.float32)  # the k best scores of each row so far, the least first
+    seen = []
+    for at in range(0, len(labels), label_block):
+        s = x32 @ single[at : at + label_block].T
+        if at == 0 and s.shape[1] > k:
+            top = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+            top.sort(axis=1)
+        place = np.flatnonzero(s >= (top[:, :1] - margin))
+        if not len(place):
+            continue
+        row, score = place // s.shape[1], s.ravel()[place]
+        seen.append((row, place % s.shape[1] + at, score))
+        if at or s.shape[1] <= k:
+            order = np.lexsort((-score, row))
+            row, score = row[order], score[order]
+            few = _first(row, k)
+            row, score = row[few], score[few]
+            found = np.unique(row)
+            more = np.full((len(found), k), -np.inf, np.float32)
+            more[np.searchsorted(found, row), np.arange(len(row)) - np.searchsorted(row, row)] = score
+            top[found] = np.sort(np.concatenate([top[found], more], axis=1), axis=1)[:, -k:]
+    if not seen:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, label, score = (np.concatenate(c) for c in zip(*seen, strict=True))
+    near = score >= top[row, 0] - margin
+    row, label = row[near], label[near]
+    exact = np.empty(len(row))
     for at in range(0, len(row), 1 << 16):
-        score[at : at + (1 << 16)] = np.cumsum(x[row[at : at + (1 << 16)]] * labels[label[at : at + (1 << 16)]], axis=1)[:, -1]
-    order = np.lexsort((label, -score, row))
-    row, label, score = row[order], label[order], score[order]
-    starts = np.searchsorted(row, np.arange(len(x)))
-    return [[(float(score[i]), int(ranks[label[i]])) for i in range(s, s + k)] for s in starts]
+        exact[at : at + (1 << 16)] = np.cumsum(x[row[at : at + (1 << 16)]] * labels[label[at : at + (1 << 16)]], axis=1)[:, -1]
+    order = np.lexsort((label, -exact, row))
+    row, label, exact = row[order], label[order], exact[order]
+    few = _first(row, k)
+    return row[few], label[few], exact[few]
 
 
-def _cells(k: int):
+def _cells(k: int, label_block: int, row_block: int):
+    kind = pa.struct([("negative", pa.float64()), ("rank", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, ranks, matrix = None, [], [], None
         for batch in batches:
@@ -75,44 +118,55 @@ def _cells(k: int):
                     ranks.append(part.column(2).to_numpy())
                     continue
                 if matrix is None:
-                    matrix, _ = _vectors(pa.concat_arrays(parts)) if parts else (np.zeros((0, 0)), None)
-                    places = np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
-                for at in range(begin, end, ROWS):
-                    part = batch.slice(at, min(ROWS, end - at))
+                    matrix = _units(_vectors(pa.concat_arrays(parts))[0])[0] if parts else np.zeros((0, 0))
+                    single, places = matrix.astype(np.float32), np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
+                    parts = []
+                for at in range(begin, end, row_block):
+                    part = batch.slice(at, min(row_block, end - at))
                     x, fine = _vectors(part.column(4), matrix.shape[1] if len(matrix) else None)
-                    found = _best(x, matrix, places, k)
-                    out = [[{"negative": -s, "rank": r} for s, r in f] if ok else None for f, ok in zip(found, fine, strict=True)]
-                    kind = pa.list_(pa.struct([("negative", pa.float64()), ("rank", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([part.column(3), part.column(5), pa.array(out, kind)], ["row", "payload", "ranking"])
+                    x, valid = _units(x)
+                    fine &= valid
+                    row, label, score = _best(x, matrix, single, k, label_block)
+                    row, label, score = row[fine[row]], label[fine[row]], score[fine[row]]
+                    offsets = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
+                    found = pa.StructArray.from_arrays([pa.array(-score), pa.array(places[label])], fields=list(kind))
+                    yield pa.RecordBatch.from_arrays([part.column(3), part.column(5), pa.ListArray.from_arrays(offsets, found)], ["row", "payload", "ranking"])
 
     return run
 
 
-def ranked_blocks(rows: DataFrame, vocab: DataFrame, k: int, vec_col: str = "embedding", label_col: str = "lid", label_vec_col: str = "vec", label_block: int = LABEL_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
-    """rows with ranking: the k best labels as array<struct<s, lid>>, best first. A label is a whole number, its place in the list, each once."""
+def _parts(n_rows: int, n_labels: int, dim: int, tasks: int, cell_rows: int, cell_bytes: int, least: int) -> tuple[int, int]:
+    """Parts of the rows and of the labels."""
+    a, b = max(1, -(-n_rows // cell_rows)), max(1, -(-n_labels * dim * 8 // cell_bytes))
+    more = max(1.0, tasks / (a * b)) ** 0.5
+    return max(a, min(round(a * more), -(-n_rows // least))), max(b, min(round(b * more), -(-n_labels // least)))
 
-    def unit(vec: str):
-        double = F.transform(F.col(vec), lambda x: x.cast("double"))
-        return F.transform(double, lambda x: x / norm(F.col(vec)))
 
-    labels = vocab.select(F.col(label_col).alias("lid"), F.col(label_vec_col).alias("v")).filter(F.col("v").isNotNull() & valid_norm(norm(F.col("v"))))
+def ranked_blocks(
+    rows: DataFrame, vocab: DataFrame, k: int, vec_col: str = "embedding", label_col: str = "lid", label_vec_col: str = "vec", label_block: int = LABEL_BLOCK, row_block: int = ROW_BLOCK,
+    cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES, least: int = LEAST,
+) -> DataFrame:
+    """rows with ranking: the k best labels as array<struct<s, lid>>, best first. A label is a whole number, its place in the list, each once."""
+    single = {"array<float>"} >= {rows.schema[vec_col].dataType.simpleString(), vocab.schema[label_vec_col].dataType.simpleString()}
+    kept = lambda vec: F.col(vec).cast("array<float>" if single else "array<double>")
+    fine = lambda vec: vec.isNotNull() & valid_norm(norm(vec))
+    labels = vocab.select(F.col(label_col).alias("lid"), F.col(label_vec_col).alias("v")).filter(fine(F.col("v")))
     longest = labels.agg(F.max(F.size("v"))).first()[0] or 0
-    labels = labels.filter(F.size("v") == longest).select("lid", unit("v").alias("vec"))
+    labels = labels.filter(F.size("v") == longest).select("lid", kept("v").alias("vec"))
     n_labels, n_rows = labels.count(), rows.count()
-    label_blocks, row_blocks = max(1, -(-n_labels // label_block)), max(1, -(-n_rows // row_block))
-    fine = lambda vec: vec.isNotNull() & valid_norm(norm(vec))
+    row_parts, label_parts = _parts(n_rows, n_labels, longest, 3 * rows.sparkSession.sparkContext.defaultParallelism, cell_rows, cell_bytes, least)
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())  # in one place only: what follows is grouped, not joined with the rows again
-    cells = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(label_blocks - 1))).alias("b"), "*")
+    cells = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(label_parts - 1))).alias("b"), "*")
     payload = F.when(F.col("b") == 0, F.struct(*(F.col(f"`{c}`") for c in rows.columns)))
-    asked = cells.select("b", F.pmod(F.xxhash64("_row"), F.lit(row_blocks)).alias("a"), F.col("_row").alias("row"), payload.alias("payload"), F.when(fine(F.col(vec_col)), unit(vec_col)).alias("vec"))
-    offered = labels.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("a"), F.pmod(F.xxhash64("lid"), F.lit(label_blocks)).alias("b"), F.col("lid").cast("long").alias("rank"), "vec")
-    cell = (F.col("a") * label_blocks + F.col("b")).cast("long").alias("cell")
+    asked = cells.select("b", F.pmod(F.xxhash64("_row"), F.lit(row_parts)).alias("a"), F.col("_row").alias("row"), payload.alias("payload"), kept(vec_col).alias("vec"))
+    offered = labels.select(F.explode(F.sequence(F.lit(0), F.lit(row_parts - 1))).alias("a"), F.pmod(F.xxhash64("lid"), F.lit(label_parts)).alias("b"), F.col("lid").cast("long").alias("rank"), "vec")
+    cell = (F.col("a") * label_parts + F.col("b")).cast("long").alias("cell")
     null, kind = F.lit(None).cast("long"), asked.schema["payload"].dataType
     stream = offered.select(cell, F.lit(0).alias("kind"), "rank", null.alias("row"), "vec", F.lit(None).cast(kind).alias("payload"))
     stream = stream.unionByName(asked.select(cell, F.lit(1).alias("kind"), null.alias("rank"), "row", "vec", "payload"))
-    stream = stream.repartition("cell").sortWithinPartitions("cell", "kind", "rank")
-    found = stream.mapInArrow(_cells(k), FOUND.format(payload=kind.simpleString()))
-    best = found.groupBy("row").agg(F.first("payload", True).alias("payload"), F.flatten(F.collect_list("ranking")).alias("all"))  # k of each label block
+    stream = stream.repartitionById(row_parts * label_parts, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind", "rank")
+    found = stream.mapInArrow(_cells(k, label_block, row_block), FOUND.format(payload=kind.simpleString()))
+    best = found.groupBy("row").agg(F.first("payload", True).alias("payload"), F.flatten(F.collect_list("ranking")).alias("all"))  # k of each part of the labels
     best = best.select("payload.*", F.slice(F.sort_array("all"), 1, k).alias("_best"))
     named = F.transform("_best", lambda x: F.struct((-x["negative"]).alias("s"), x["rank"].cast(vocab.schema[label_col].dataType).alias("lid")))
     return best.withColumn("ranking", F.when(fine(F.col(vec_col)), named)).drop("_best")

@@ -71,6 +71,33 @@ def test_blocks_change_nothing(spark, label_block, row_block):
             assert [r["lid"] for r in ranking] == [k for _, k in want] and np.allclose([r["s"] for r in ranking], [-s for s, _ in want], atol=1e-12)
 
 
+def test_cells_change_nothing_and_copies_are_few(spark):
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(300, 8)).astype(np.float32)
+    vecs[200:] = vecs[:100]  # ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    units = np.stack([unit(v) for v in vecs])
+    want = {i: [k for _, k in sorted((-float(np.cumsum(u * w)[-1]), k) for k, w in enumerate(units))[:6]] for i, u in enumerate(units)}
+    for cells in ({}, {"cell_rows": 70, "cell_bytes": 90 * 64, "least": 1}, {"least": 20}):
+        found = blocked.ranked_blocks(df, df.toDF("lid", "vec"), 6, label_block=9, row_block=4, **cells)
+        assert {r["vec_id"]: [x["lid"] for x in r["ranking"]] for r in found.collect()} == want
+    # blocks of a product are no cells: small ones make no more copies
+    for n in (100_000, 600_000):
+        a, b = blocked._parts(n, n, 64, 36, blocked.CELL_ROWS, blocked.CELL_BYTES, blocked.LEAST)
+        assert a * b >= 36 and a + b <= 20 and n / a <= 66_000 and n * 512 / b <= blocked.CELL_BYTES
+
+
+def test_products_keep_near_ties_apart():
+    # scores that single precision can't tell apart are ranked by their sums in double precision
+    base = np.full(64, 0.125)
+    labels = np.stack([base] + [base + np.eye(64)[k % 64] * 1e-5 * (k % 5) for k in range(500)])
+    labels /= np.sqrt((labels * labels).sum(axis=1))[:, None]
+    x = labels[[0, 3, 77]]
+    row, label, score = blocked._best(x, labels, labels.astype(np.float32), 6, 64)
+    want = [(i, k) for i in range(3) for _, k in sorted((-float(np.cumsum(x[i] * w)[-1]), k) for k, w in enumerate(labels))[:6]]
+    assert list(zip(row.tolist(), label.tolist(), strict=True)) == want and len(score) == 18
+
+
 def test_blocked_tags_are_the_broadcast_ones(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     vocab = rows.filter("vec_id < 30").toDF("lid", "vec")
