@@ -3,6 +3,7 @@
 * ``resampled`` is a band join of output times with input samples: each sample is sent to the few outputs whose window it lies in, and weighted
   sums meet by output. No sample is compared with others, samples needn't be evenly spaced, and sums are partial before the shuffle, so a signal may have most of all rows.
 * ``spectra`` makes a row of each of the overlapping frames of a row's samples, and its bins' powers are summed into bands by a sparse bank of fixed size, where the frame stands. Nothing is shuffled.
+  Python gets a signal in pieces of about ``PIECE`` samples, so its memory depends neither on the signals' lengths nor on how many a task reads. The samples may be an array of numbers or the bytes of an 8-bit sound.
 
 Defined cases: null samples, times and values have no part in anything; an output no sample reaches has no row; a signal without samples has no frame, a shorter one than half a frame is
 continued by its mirror images again and again; equal rows count each for itself; an empty table gives an empty result.
@@ -14,8 +15,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,45 +95,67 @@ def bank_table(bands: int, fft: int, rate: int, low: float, high: float) -> list
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def bytes_as_samples(texts: pd.Series) -> pd.Series:
-    """A text's bytes as the samples of an 8-bit sound, in [-1, 1); null if it has none."""
-    return texts.map(lambda t: (np.frombuffer(t.encode(), np.uint8).astype(np.float32) - 128) / 128 if t else None)
+PIECE = 4096
+AT_ONCE = 1 << 17  # samples of the frames that are in memory at a time
 
 
-FRAMES_AT_ONCE = 4096
-
-
-def _powers(fft: int, hop: int):
-    """A row a frame: the powers of its bins. Of a long signal some frames at a time are in memory."""
+def _bands(fft: int, hop: int, bank: list[list[tuple[int, float]]], per: int):
+    """A row a frame: the power in each band, in decibels. A row of the batches is a piece: n, the samples of its signal, the first of its frames, at most ``per``, and the place of its first sample."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(fft) / fft)
+    most = max(per, AT_ONCE // fft)
+
+    def samples_of(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All samples, and how many each piece has."""
+        if pa.types.is_binary(pieces.type):
+            x = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+            return (x.astype(np.float64) - 128) / 128, pa.compute.binary_length(pieces).to_numpy()
+        return pieces.flatten().to_numpy(zero_copy_only=False).astype(np.float64), pa.compute.list_value_length(pieces).to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                x = batch.column(1)[row]
-                x = x.values.drop_null().to_numpy(zero_copy_only=False).astype(np.float64) if x.is_valid else np.zeros(0)
-                total = len(x) // hop + 1 if len(x) else 0
-                period = max(2 * len(x) - 2, 1)
-                for at in range(0, total, FRAMES_AT_ONCE):
-                    frame = np.arange(at, min(total, at + FRAMES_AT_ONCE))
-                    places = (frame[:, None] * hop + np.arange(fft) - fft // 2) % period
-                    spectrum = np.fft.rfft(x[np.minimum(places, period - places)] * window, axis=1)
-                    power = pa.array((spectrum.real**2 + spectrum.imag**2).ravel())
-                    offsets = pa.array(np.arange(len(frame) + 1) * (fft // 2 + 1), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(frame)), pa.array(frame), pa.ListArray.from_arrays(offsets, power)], ["row", "frame", "power"])
+            n, first, place = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+            frames = np.minimum(n // hop + 1 - first, per)
+            edges = np.flatnonzero(np.diff((np.cumsum(frames) - 1) // most, prepend=-1))
+            for begin, end in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+                x, lengths = samples_of(batch.column(4).slice(begin, end - begin))
+                k = frames[begin:end]
+                of = np.repeat(np.arange(begin, end), k)
+                frame = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+                period = np.maximum(2 * n[of] - 2, 1)[:, None]
+                places = (frame[:, None] * hop + np.arange(fft) - fft // 2) % period
+                places = np.minimum(places, period - places) + np.repeat(np.cumsum(lengths) - lengths - place[begin:end], k)[:, None]
+                spectrum = np.fft.rfft(x[places] * window, axis=1)
+                power = spectrum.real**2 + spectrum.imag**2
+                bands = np.zeros((len(of), len(bank)))
+                for b, weights in enumerate(bank):
+                    for bin_, w in weights:
+                        bands[:, b] += power[:, bin_] * w
+                values = pa.array(10 * np.log10(np.maximum(bands, FLOOR)).ravel())
+                offsets = pa.array(np.arange(len(of) + 1) * len(bank), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(frame), pa.ListArray.from_arrays(offsets, values)], ["row", "frame", "bands"])
 
     return run
 
 
-def spectra(rows: DataFrame, id_cols: list[str], samples: str, fft: int, hop: int, bank: list[list[tuple[int, float]]]) -> DataFrame:
-    """``id_cols``, frame (from 0; 1 + floor(n / hop) of n samples) and bands: the power in each band of the bank around every hop-th sample, in decibels."""
-    struct = F.struct(*id_cols)
-    kind = rows.select(struct.alias("row")).schema["row"].dataType.simpleString()
-    power = rows.select(struct.alias("row"), samples).mapInArrow(_powers(fft, hop), f"row {kind}, frame long, power array<double>")
+def pieces(rows: DataFrame, id_cols: list[str], samples: str, fft: int, hop: int, per: int) -> DataFrame:
+    """row (the ids), n (samples of the whole signal), first (frame), place (of the first sample) and piece: the samples that so many frames and their mirror images need."""
+    binary = rows.schema[samples].dataType == T.BinaryType()
+    x = rows.select(F.struct(*id_cols).alias("row"), (F.col(samples) if binary else F.array_compact(samples)).alias("x"))
+    n = (F.octet_length if binary else F.size)("x")
+    cut = F.substring if binary else F.slice
 
-    def band(weights: list[tuple[int, float]]) -> Column:
-        total = sum((F.get("power", F.lit(k)) * w for k, w in weights), F.lit(0.0))
-        return 10 * F.log10(F.greatest(total, F.lit(FLOOR)))
+    def piece(c: Column) -> Column:
+        low = F.greatest(c * (per * hop) - fft, F.lit(0))
+        high = F.least((c + 1) * (per * hop) + fft, n)
+        return F.struct((c * per).alias("first"), low.alias("place"), cut("x", low + 1, high - low).alias("piece"))
 
-    return power.select("row.*", "frame", F.array(*(band(b) for b in bank)).alias("bands"))
+    # one select: the signal is made once, not once a piece
+    return x.select("row", n.alias("n"), F.when(n > 0, F.transform(F.sequence(F.lit(0), F.expr(f"int({'octet_length' if binary else 'size'}(x) div {hop} div {per})")), piece)).alias("pieces")).select("row", "n", F.inline("pieces"))
+
+
+def spectra(rows: DataFrame, id_cols: list[str], samples: str, fft: int, hop: int, bank: list[list[tuple[int, float]]]) -> DataFrame:
+    """``id_cols``, frame (from 0; 1 + floor(n / hop) of n samples) and bands: the power in each band of the bank around every hop-th sample, in decibels."""
+    per = max(1, min(PIECE, AT_ONCE // fft * hop) // hop)
+    cut = pieces(rows, id_cols, samples, fft, hop, per)
+    bands = cut.mapInArrow(_bands(fft, hop, bank, per), f"row {cut.schema['row'].dataType.simpleString()}, frame long, bands array<double>")
+    return bands.select("row.*", "frame", "bands")

@@ -12,7 +12,7 @@ from mediafold.operators.blocked import ranked_blocks, zero_shot_blocks
 from mediafold.operators.dsp import CUTOFF, FLOOR
 from mediafold.operators.ordered import FRAMES, laid_out
 from mediafold.operators.render import json_records, markdown_blocks, text_blocks
-from mediafold.operators.signals import bank_table, blackman_harris, bytes_as_samples, fitted, reflected, resampled, resampled_arrays, spectra
+from mediafold.operators.signals import bank_table, blackman_harris, fitted, reflected, resampled, resampled_arrays, spectra
 from mediafold.operators.zeroshot import AUDIO
 from mediafold.plans.text_queries import RENDER_SQL, record_rows
 
@@ -53,7 +53,7 @@ _RATE, _LOW, _HIGH = 8000, 200.0, 3800.0
 
 def log_mel_documents(spark, sf_dir):
     """Each text's bytes as a sound of 8 kHz: all frames of its spectrogram."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", bytes_as_samples("text").alias("samples"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("samples"))
     found = spectra(docs, ["doc_id"], "samples", FFT, HOP, bank_table(BANDS, FFT, _RATE, _LOW, _HIGH))
     return found.select("doc_id", F.col("frame").cast("long").alias("frame"), *(F.round(F.col("bands")[b], 4).alias(f"band{b}") for b in range(BANDS)))
 

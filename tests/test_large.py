@@ -149,6 +149,32 @@ def test_spectra_are_the_helper_s(spark):
         assert len(got[k]) == len(want) and np.allclose([got[k][f] for f in range(len(want))], want, atol=1e-3)
 
 
+def test_spectra_get_long_signals_in_pieces(spark):
+    rng = np.random.default_rng(7)
+    fft, hop = 32, 16
+    bank = signals.bank_table(6, fft, 8000, 200.0, 3800.0)
+    per = signals.PIECE // hop
+    sizes = [1, 2, 15, 16, 17, 31, 32, 33, 47, 48, *(per * hop + d for d in (-33, -16, -1, 0, 1, 16, 40)), 3 * per * hop + 5, 100_000]
+    texts = {n: rng.integers(0, 256, n, np.uint8).tobytes() for n in sizes}
+    df = spark.createDataFrame([(n, bytearray(t)) for n, t in texts.items()] + [(0, bytearray()), (-1, None)], "id int, x binary")
+    most = signals.pieces(df, ["id"], "x", fft, hop, per).agg(F.max(F.octet_length("piece"))).first()[0]
+    assert most <= signals.PIECE + 2 * fft  # whatever a text's length
+    floats = df.select("id", F.when(F.col("x").isNotNull(), F.transform(F.split(F.regexp_replace(F.hex("x"), "(..)(?!$)", "$1,"), ","), lambda h: (F.conv(h, 16, 10).cast("float") - 128) / 128)).alias("x"))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(fft) / fft)
+    for rows in (df, floats.filter("id > 0")):
+        got = {}
+        for r in signals.spectra(rows, ["id"], "x", fft, hop, bank).collect():
+            assert r["frame"] not in got.setdefault(r["id"], {})
+            got[r["id"]][r["frame"]] = r["bands"]
+        assert set(got) == set(sizes)
+        for n, t in texts.items():
+            x = (np.frombuffer(t, np.uint8).astype(float) - 128) / 128
+            padded = np.pad(x, fft // 2, mode="reflect") if n > 1 else np.repeat(x, fft + 1)
+            power = np.abs(np.fft.rfft(np.stack([padded[f * hop : f * hop + fft] for f in range(n // hop + 1)]) * window, axis=1)) ** 2
+            want = [[10 * np.log10(max(sum(p[k] * w for k, w in b), dsp.FLOOR)) for b in bank] for p in power]
+            assert sorted(got[n]) == list(range(n // hop + 1)) and np.allclose([got[n][f] for f in range(len(want))], want, atol=1e-6)
+
+
 def test_probe_metadata(spark):
     def shaped(raw, shape):
         text = spark.createDataFrame([(raw,)], "raw string").select(F.to_json(shape(F.col("raw"))).alias("m")).first()["m"]
