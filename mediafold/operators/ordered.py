@@ -1,8 +1,8 @@
 """One ordered document out of many rows, without a task that holds them all.
 
-The rows are sorted by range into parts. Each part's number of rows and of bytes are added up over the parts before it, in groups of
+The blocks are made once, into a table, and sorted by range into parts, where each row gets its place and its size. Each part's number of rows and of bytes are added up over the parts before it, in groups of
 ``BASE`` parts, groups of groups and so on; within a part a running sum gives each row's own. So every row knows its position in the
-whole and the byte at which its piece begins, and any task can write it there. A piece is the block with what goes before it: an opening bracket
+whole and the byte at which its piece begins, and any task can write it there. Only the pieces themselves need the blocks again: positions, offsets and lengths come from the sizes. A piece is the block with what goes before it: an opening bracket
 or a separator; the last piece has the closing bracket too.
 
 Defined cases: rows of equal keys are in the order of their blocks, equal ones side by side; a null block has no piece and no position; null keys come first; no rows
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediafold.scratch import written
+from mediafold.scratch import drop_written, written
 
 BASE = 1024
 
@@ -51,30 +51,34 @@ def totals_before(parts: DataFrame, n_parts: int, values: list[str], base: int =
 
 
 def sorted_parts(blocks: DataFrame, key: list[Column], block_col: str, parts: int) -> DataFrame:
-    """blocks with ``_part`` and ``_key``, as a table: the rows of a part are all before those of the next, and equal rows may be in several."""
-    keyed = blocks.filter(F.col(block_col).isNotNull()).withColumn("_key", F.struct(*key, F.col(block_col), F.monotonically_increasing_id()))
-    return written(keyed.repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id()), "parts")
+    """blocks with ``_part``, ``_at`` (the place in the part) and ``_size`` (bytes), as a table: the rows of a part are all before those of the next, and equal rows may be in several."""
+    made = written(blocks, "blocks")  # the search for the parts' bounds reads all rows once before they are sorted
+    order = [*key, F.col(block_col), F.col("_id")]
+    rows = made.filter(F.col(block_col).isNotNull()).withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.drop("_id").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), "_size": F.octet_length(block_col).cast("long")})
+    out = written(rows, "parts")
+    drop_written(made)
+    return out
 
 
 def laid_out(blocks: DataFrame, key: list[Column], block_col: str = "block", frame: Frame = Frame(), parts: int | None = None) -> DataFrame:
     """blocks with position (from 0), offset and length (bytes) and piece, the text that stands there."""
     parts = parts or max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = sorted_parts(blocks, key, block_col, parts)
-    gap, head = len(frame.separator.encode()), len(frame.head.encode())
-    size = F.octet_length(block_col) + gap
+    head, gap, tail = (len(x.encode()) for x in (frame.head, frame.separator, frame.tail))
+    size = F.col("_size") + gap
     by_part = rows.groupBy(F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
     by_part = written(by_part, "part-totals")  # a row a part
     total = by_part.agg(F.sum("n")).first()[0] or 0
     before = totals_before(by_part, parts, ["n", "bytes"]).withColumnRenamed("part", "_part")
-    order = Window.partitionBy("_part").orderBy("_key")
-    earlier = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.select("*", (F.row_number().over(order) - 1).alias("_at"), earlier.alias("_bytes")).join(before.hint("merge"), "_part")
+    earlier = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.select("*", earlier.alias("_bytes")).join(before.hint("merge"), "_part")
     position = (F.col("n_before") + F.col("_at")).cast("long")
     first, last = position == 0, position == total - 1
     offset = F.when(first, F.lit(0)).otherwise(F.col("bytes_before") + F.col("_bytes") + head - gap).cast("long")
+    length = (F.col("_size") + F.when(first, F.lit(head)).otherwise(F.lit(gap)) + F.when(last, F.lit(tail)).otherwise(F.lit(0))).cast("long")
     piece = F.concat(F.when(first, F.lit(frame.head)).otherwise(F.lit(frame.separator)), F.col(block_col), F.when(last, F.lit(frame.tail)).otherwise(F.lit("")))
-    out = out.select(*(F.col(f"`{c}`") for c in blocks.columns), position.alias("position"), offset.alias("offset"), piece.alias("piece"))
-    return out.select("*", F.octet_length("piece").cast("long").alias("length"))
+    return out.select(*(F.col(f"`{c}`") for c in blocks.columns), position.alias("position"), offset.alias("offset"), length.alias("length"), piece.alias("piece"))
 
 
 def _write_pieces(path: str):

@@ -15,6 +15,7 @@ from mediafold.operators.render import json_records, markdown_blocks, text_block
 from mediafold.operators.signals import bank_table, blackman_harris, fitted, reflected, resampled, resampled_arrays, spectra
 from mediafold.operators.zeroshot import AUDIO
 from mediafold.plans.text_queries import RENDER_SQL, record_rows
+from mediafold.scratch import written
 
 _BLOCKS = {"text": text_blocks, "markdown": markdown_blocks, "json": lambda rows: json_records(rows).withColumnRenamed("json", "block")}
 
@@ -26,8 +27,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def document_layout(spark, sf_dir):
     """Where each part's block stands in the one document of all parts, for each kind of document: position, first byte and length."""
     kinds = []
+    records = written(record_rows(spark, sf_dir, int(spark.conf.get("spark.sql.shuffle.partitions"))), "records")  # made once for all kinds
     for kind, blocks in _BLOCKS.items():
-        laid = laid_out(blocks(record_rows(spark, sf_dir)), [path_order(F.col("path"))], "block", FRAMES[kind])
+        laid = laid_out(blocks(records), [path_order(F.col("path"))], "block", FRAMES[kind])
         kinds.append(laid.select(F.lit(kind).alias("kind"), "path", "position", "offset", "length"))
     return reduce(DataFrame.unionByName, kinds)
 

@@ -79,8 +79,9 @@ def component_sort(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(key, "|").alias("components"), key.alias("key")).orderBy("key", "page_id").drop("key")
 
 
-def _records(spark, sf_dir) -> DataFrame:
+def _records(spark, sf_dir, tasks: int | None = None) -> DataFrame:
     parts = _table(spark, sf_dir, "part")
+    parts = parts if tasks is None else parts.repartition(tasks, "p_partkey")
     error = F.when(F.col("p_partkey") % 50 == 0, F.lit("unreadable"))
     rows = parts.select(
         F.concat(F.lit("parts/"), "p_name").alias("path"), F.lit("image").alias("type"), F.col("p_size").cast("long").alias("bytes"),
@@ -90,9 +91,9 @@ def _records(spark, sf_dir) -> DataFrame:
     return rows
 
 
-def record_rows(spark, sf_dir) -> DataFrame:
-    """A record for each part; every fiftieth is an error row."""
-    return collapsed(_records(spark, sf_dir)).withColumn("path", F.concat_ws("#", "path", "p_partkey"))
+def record_rows(spark, sf_dir, tasks: int | None = None) -> DataFrame:
+    """A record for each part; every fiftieth is an error row. tasks: deal the parts to so many, as a table of few bytes is read by few."""
+    return collapsed(_records(spark, sf_dir, tasks)).withColumn("path", F.concat_ws("#", "path", "p_partkey"))
 
 
 def _rendered(blocks):

@@ -39,6 +39,22 @@ def test_no_blocks_make_an_empty_document(spark, tmp_path):
     assert ordered.write_document(laid, str(tmp_path / "d"), ordered.FRAMES["json"]) == 2 and (tmp_path / "d").read_text() == "[]"
 
 
+def test_blocks_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def block(k):
+        made.add(1)
+        return "b" * (k % 7)
+
+    rows = spark.range(500, numPartitions=3).select(F.col("id").cast("string").alias("path"), block("id").alias("block"))
+    laid = ordered.laid_out(rows, [path_order(F.col("path"))], "block", ordered.FRAMES["text"], 4).select("path", "position", "offset", "length")
+    assert laid.count() == 500 and sum(r["length"] for r in laid.collect()) == sum(k % 7 for k in range(500)) + 2 * 499
+    assert made.value == 500
+    # positions, offsets and lengths come from the sizes: the blocks aren't read again
+    assert "block:string" not in laid._jdf.queryExecution().executedPlan().toString()
+
+
 def test_totals_of_many_groups(spark):
     parts = [(p, p % 7 + 1) for p in range(200) if p % 13]
     got = {r["part"]: r["n_before"] for r in ordered.totals_before(spark.createDataFrame(parts, "part int, n long"), 200, ["n"], base=4).collect()}
