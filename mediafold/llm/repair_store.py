@@ -60,25 +60,26 @@ def grammar(symbols: np.ndarray, last: np.ndarray, first: int, min_uses: int = M
     name, turn = first, 0
     while len(at := np.flatnonzero(live)):
         turn += 1
-        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[after[at]]
+        pair = seq.take(at).astype(np.uint64) << np.uint64(32) | seq.take(after.take(at))
         bits = min(20, max(8, len(at).bit_length()))
         bucket = (pair * np.uint64((0x9E3779B97F4A7C15 * (2 * turn - 1)) % (1 << 64)) >> np.uint64(64 - bits)).view(np.int64)
         counted = np.zeros(1 << bits, np.uint64)
         counted[bucket] = pair
-        same = counted[bucket] == pair
+        same = counted.take(bucket) == pair
         count = np.bincount(bucket[same], minlength=1 << bits).astype(np.int32)
         count[count < min_uses] = 0
-        gain = count[bucket] * same
+        gain = count.take(bucket) * same
         # of pairs that overlap, the more frequent one; of equally frequent ones in a row, every other one
-        beside = after[at[:-1]] == at[1:]
-        new = np.concatenate([[True], ~beside | (gain[1:] != gain[:-1])])
-        begin = np.flatnonzero(new)
-        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) % 2 == 1
+        beside = after.take(at[:-1]) == at[1:]
+        alike = np.flatnonzero(beside & (gain[1:] == gain[:-1]) & (gain[1:] > 0)) + 1
+        begin = np.flatnonzero(np.diff(alike, prepend=-1) != 1)
+        odd = np.zeros(len(at), bool)
+        odd[alike] = (np.arange(len(alike)) - np.repeat(begin, np.diff(begin, append=len(alike)))) % 2 == 0
         beaten = np.zeros(len(at), bool)
         beaten[1:] |= beside & (gain[:-1] > gain[1:])
         beaten[:-1] |= beside & (gain[1:] > gain[:-1])
         chosen = np.flatnonzero((gain > 0) & ~odd & ~beaten)
-        kept = np.flatnonzero(np.bincount(bucket[chosen], minlength=1 << bits) >= min_uses)
+        kept = np.flatnonzero(np.bincount(bucket.take(chosen), minlength=1 << bits) >= min_uses)
         live[at[same & (gain == 0)]] = False
         if not len(kept):
             live[at[same]] = False
@@ -87,9 +88,9 @@ def grammar(symbols: np.ndarray, last: np.ndarray, first: int, min_uses: int = M
         names[kept] = name + np.arange(len(kept))
         rules.append(counted[kept])
         name += len(kept)
-        named = names[bucket[chosen]]
-        c, named = at[chosen[named > 0]], named[named > 0]
-        gone = after[c]
+        named = names.take(bucket.take(chosen))
+        c, named = at.take(chosen[named > 0]), named[named > 0]
+        gone = after.take(c)
         seq[c], last[c] = named, last[gone]
         after[c] = after[gone]
         before[after[c]] = c

@@ -52,25 +52,47 @@ def _byte_letters() -> list[str]:
 
 
 _LETTERS = _byte_letters()
-#: Keys whose pre-tokens are known, a line end, letters and a stop, and that no tokenizer changes but for lower case; the model can have them directly.
-_PLAIN = re.compile("(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+#: Keys whose pre-tokens are known, a line end, letters and marks, and that no tokenizer changes but for lower case; the model can have them directly.
+_PLAIN = re.compile("(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
+
+
+def _written(word: str) -> str:
+    """A word of those letters as byte-level vocabularies write it."""
+    return word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()])
 
 
 class Memo(dict):
-    """Keys to packed ids."""
+    """Keys to packed ids. A word in capitals or with marks after it is put together from what is known of the word itself."""
 
     def __init__(self, tokenizer: Tokenizer, kind: str | None, width: int, limit: int = MEMO) -> None:
-        self.tokenizer, self.model, self.kind, self.width, self.limit = tokenizer, tokenizer.model, kind, width, limit
+        self.tokenizer, self.kind, self.limit = tokenizer, kind, limit
+        self.tokenize = tokenizer.model.tokenize
+        self.packed = [i.to_bytes(width, "little") for i in range(1 + max(tokenizer.get_vocab().values(), default=-1))]
+        self.blank, self.unmarked = ("", "") if kind == "word" else (_LETTERS[32], "\x00")
+
+    def _piece(self, written: str) -> bytes:
+        """The ids of one pre-token, written as in the vocabulary."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(written)])
 
-    def _ids(self, key: str) -> list[int]:
+    def _ids(self, key: str) -> bytes:
         if m := _PLAIN.fullmatch(key):
-            line, word, stop = m.groups()
-            word = word.lower() if self.kind == "word" else word if line else " " + word
-            return [t.id for part in (line, word, stop) if part for t in self.model.tokenize("".join([_LETTERS[b] for b in part.encode()]))]
-        return self.tokenizer.encode(key if self.kind == "word" else byte_level_text(key), add_special_tokens=False).ids
+            line, word, marks = m.groups()
+            if self.kind == "word":
+                word = word.lower()
+            if line:
+                known = self._piece(_LETTERS[10]) + self._piece(_written(word))
+            else:
+                known = self[word] if word != key else self._piece(self.blank + _written(word))
+            return known + self[self.unmarked + marks] if marks else known
+        packed = self.packed
+        return b"".join([packed[i] for i in self.tokenizer.encode(key if self.kind == "word" else byte_level_text(key), add_special_tokens=False).ids])
 
     def __missing__(self, key: str) -> bytes:
-        packed = b"".join([i.to_bytes(self.width, "little") for i in self._ids(key)])
+        if key.islower() and key.isascii() and key.isalpha():  # most of them
+            packed = self._piece(self.blank + key)
+        else:
+            packed = self._ids(key)
         if len(key) <= MEMO_WORD:
             if len(self) >= self.limit:
                 self.clear()

@@ -45,6 +45,26 @@ def test_memo_gives_the_whole_texts_ids(text):
         assert np.frombuffer(encoder(text), "<u2").tolist() == whole
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["Ärger", "ärger", "Word", "WORD", "word", "ÿ", "ø", "ß", *"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "***", "'s", "\n", " ", " ", " ", "7"]), max_size=24).map("".join))
+def test_marks_and_capitals_give_the_whole_texts_ids(text):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = token_memo.PackedEncoder(P.path(name)) if not text else token_memo.packed_encoder(P.path(name))
+        assert np.frombuffer(encoder(text), "<u2").tolist() == ids_of(encoder.memo.tokenizer, text)
+
+
+def test_a_word_is_encoded_once_for_all_its_marks_and_capitals(tokenizers):
+    """Any use of the library for a known word's letters is seen: it then has neither a model nor a whole tokenizer to ask."""
+    for kind, variants in (("word", "whorha whorha. Whorha, WHORHA!! whorha***"), ("byte_level", "whorha whorha. whorha, whorha!! whorha***")):
+        memo = token_memo.Memo(tokenizers[kind], kind, 2)
+        for key in ["whorha", *(f"a{marks}" for marks in (".", ",", "!!", "***"))]:
+            memo[key]
+        want = [ids_of(tokenizers[kind], key if kind == "word" else " " + key) for key in variants.split()]
+        for name in ("tokenizer", "model", "tokenize"):
+            setattr(memo, name, None)
+        assert [np.frombuffer(memo[key], "<u2").tolist() for key in variants.split()] == want
+
+
 def test_memo_is_bounded(tokenizers):
     memo = token_memo.Memo(tokenizers["word"], "word", 2, limit=5)
     for k in range(50):
